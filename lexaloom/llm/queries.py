@@ -4,18 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, langid, minhash, quality, token_files
+
+
+def _vocabulary(name: str) -> str:
+    """Where the public vocabulary files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, similarity_percent=80)
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_token_files": op4_token_files,
+    "op7_langid": op7_langid,
+    "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
 }
 

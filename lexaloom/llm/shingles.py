@@ -23,23 +23,32 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) of all rows,
-    in order, and how many each row has."""
+def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words `[^\\x20\\x09-\\x0D]+` of all rows start and stop, and how many each row has."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets) - 1, np.int64)
     inside = ~_SPACE[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = inside & (edge[:-1] | np.concatenate(([True], ~inside[:-1])))
     ends = inside & (edge[1:] | np.concatenate((~inside[1:], [True])))
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER[raw] * _powers(_BASE, n), out=prefix[1:])
-    hashes = (prefix[stops] - prefix[starts]) * _powers(_INVERSE, n)[starts]
-    row = np.searchsorted(starts, offsets)
-    return mix64(hashes), np.diff(row)
+    return starts, stops, np.diff(np.searchsorted(starts, offsets))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, A-Z taken as lower case."""
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[raw] * _powers(_BASE, len(raw)), out=prefix[1:])
+    return mix64((prefix[stops] - prefix[starts]) * _powers(_INVERSE, len(raw) + 1)[starts])
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, in order, and how many each row has."""
+    starts, stops, counts = spans(raw, offsets)
+    return span_hashes(raw, starts, stops), counts
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
