@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,3 +58,30 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             break
         seen = state
     return edges.toDF("node", "component").union(edges.select("b", "b").distinct()).distinct() if seen["n"] else spark.createDataFrame([], "node long, component long")
+
+
+def bucket_components(rows: DataFrame, confirmed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(node, component) of the nodes that have a confirmed link to another.
+
+    rows: (band, doc_id), a candidate pair being two documents of one band.
+    confirmed: keeps the true ones of the distinct pairs (a, b), a < b.
+
+    A band first links its members with its smallest member alone. Pairs within
+    a band follow only between what the first links left in different
+    components. So a large group of copies costs one pair per member, and every
+    candidate pair is either confirmed, refuted or already connected."""
+    hubs = rows.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(rows.join(hubs, "band").select("band", "doc_id", "hub"), f"{name}-buckets")
+    first = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    groups = connected_components(materialize(confirmed(first), f"{name}-links"))
+
+    named = buckets.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    apart = materialize(named.join(mixed, "band"), f"{name}-apart")
+    one = apart.select("band", F.col("doc_id").alias("a"), "hub", F.col("component").alias("ca"))
+    two = apart.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+    second = one.where("a <> hub").join(two, "band").where("a < b and ca <> cb").select("a", "b").distinct()
+    late = materialize(confirmed(second), f"{name}-late")
+    if late.limit(1).count():
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    return groups

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, mix64, ragged, utf8
-from .components import connected_components
+from .components import bucket_components
 from .shingles import shingle_sets
 
 #: Registers of a signature; bands of ROWS registers each. A pair of similarity
@@ -153,23 +153,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     member = materialize(filled.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep"), "minhash-member")
     reps = signed.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(rows.join(hubs, "band").select("band", "doc_id", "hub"), "minhash-buckets")
-
-    first = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(_confirmed(first, texts, shingle_words, similarity_percent), "minhash-links")
-    groups = connected_components(links)
-
-    # what the hubs left apart
-    named = buckets.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    apart = materialize(named.join(mixed, "band"), "minhash-apart")
-    one, two = apart.toDF("band", "a", "hub", "ca"), apart.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    second = one.where("a <> hub").join(two, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    late = materialize(_confirmed(second, texts, shingle_words, similarity_percent), "minhash-late")
-    if late.limit(1).count():
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
-
+    groups = bucket_components(rows, lambda pairs: _confirmed(pairs, texts, shingle_words, similarity_percent), "minhash")
     placed = member.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     whole = placed.union(signed.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
     return whole.withColumn("kept", F.col("doc_id") == F.col("component_id"))
