@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, quality, token_files
+from . import bpe, editprints, langid, media, minhash, quality, token_files
 
 
 def _vocabulary(name: str) -> str:
@@ -22,10 +22,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_editprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_features(_table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,9 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_editprints": op3_editprints,
     "op4_token_files": op4_token_files,
+    "op6_audio": op6_audio,
     "op7_langid": op7_langid,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
