@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, editprints, langid, media, minhash, quality, token_files
+from . import bpe, editprints, langid, linededup, media, minhash, quality, token_files
 
 
 def _vocabulary(name: str) -> str:
@@ -46,6 +46,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, similarity_percent=80)
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_editprints": op3_editprints,
@@ -54,6 +58,7 @@ QUERIES = {
     "op7_langid": op7_langid,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
+    "op10_linededup": op10_linededup,
 }
 
 ORACLES = {
@@ -79,5 +84,29 @@ r AS (
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.node) AS component_id, d.doc_id = min(r.node) AS kept
 FROM documents d JOIN r ON r.src = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 GROUP BY d.doc_id
+""",
+    "op10_linededup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, ln, body, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(body), '[	- ]+'), lambda w: w <> ''))) AS ws FROM l),
+first AS (
+  SELECT ws, len(ws) AS n, min((doc_id, ln)) AS pos FROM t WHERE len(ws) >= 5 GROUP BY ws),
+-- any order of the words serves: here that of their digests
+p AS (
+  SELECT pos, n, unnest(list_transform(list_sort(list_transform(ws, lambda w: md5(w) || w)), lambda w: w[33:])[:n - CAST(ceil(n * 80 / 100.0) AS INT) + 1]) AS w FROM first),
+c AS (
+  SELECT DISTINCT a.pos AS x, b.pos AS y FROM p a JOIN p b ON a.w = b.w AND a.pos < b.pos
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+sim AS (
+  SELECT DISTINCT c.y FROM c JOIN first a ON a.pos = c.x JOIN first b ON b.pos = c.y
+  WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 80 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+gone AS (
+  SELECT t.doc_id, t.ln FROM t JOIN first f ON f.ws = t.ws LEFT JOIN sim ON sim.y = f.pos
+  WHERE (t.doc_id, t.ln) <> f.pos OR sim.y IS NOT NULL),
+left_over AS (
+  SELECT l.doc_id, string_agg(l.body, chr(10) ORDER BY l.ln) FILTER (g.ln IS NULL) AS text, count(g.ln) AS n_removed
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.ln = l.ln GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(o.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN left_over o ON o.doc_id = d.doc_id
 """,
 }
