@@ -20,31 +20,35 @@ from .common import chunks, held_out, materialize, utf8
 from .shingles import span_hashes, spans
 
 FEATURES = (
-    "log_chars", "word_length", "upper", "digits", "stops", "symbols", "exclaim", "bars", "spaces", "line_length",
+    "log_chars", "word_length", "upper", "stops", "symbols", "exclaim", "bars", "spaces", "line_length",
     "variety", "echo", "top_word", "repeated_lines", "bare_symbols", "shouted", "wide", "entropy", "marked_words",
 )
-#: Words that a ratio has in its denominator besides those of the text, so that very short texts are not extreme.
+#: Words of plain prose that are added to a text's own before ratios are taken,
+#: so that very short texts are near plain prose and not extreme; and what such words have of letters, upper
+#: case, marks, blanks, and their entropy and variety.
 SMOOTH = 20
+PROSE = {"letters": 5.0, "upper": 0.15, "stops": 0.15, "blanks": 1.0, "entropy": 2.9, "variety": 0.9}
 #: Weight of the identity in a class covariance.
 SHRINKAGE = 0.3
 #: A score from here on predicts label 1.
 THRESHOLD = 0.7
 
-_KINDS = np.zeros((256, 9))
+_KINDS = np.zeros((256, 8))
 _KINDS[65:91, 0] = 1  # upper case
 _KINDS[97:123, 1] = 1  # lower case
-_KINDS[48:58, 2] = 1  # digits
-_KINDS[[ord(c) for c in ".,;:'\"()-?"], 3] = 1  # marks of prose
-_KINDS[[ord(c) for c in "#$%&*@^~<>=+_\\/{}[]`"], 4] = 1  # other marks
-_KINDS[ord("!"), 5] = 1
-_KINDS[ord("|"), 6] = 1
-_KINDS[[32, 9, 10, 11, 12, 13], 7] = 1  # white space
-_KINDS[128:, 8] = 1  # parts of wider characters
+_KINDS[[ord(c) for c in ".,;:'\"()-?"], 2] = 1  # marks of prose
+_KINDS[[ord(c) for c in "#$%&*@^~<>=+_\\/{}[]`"], 3] = 1  # other marks
+_KINDS[ord("!"), 4] = 1
+_KINDS[ord("|"), 5] = 1
+_KINDS[[32, 9, 10, 11, 12, 13], 6] = 1  # white space
+_KINDS[128:, 7] = 1  # parts of wider characters
 _CONTINUES = np.zeros(256, bool)
 _CONTINUES[128:192] = True
-_ALPHA = (_KINDS[:, 0] + _KINDS[:, 1] + _KINDS[:, 8]) > 0
-_LOWER = (_KINDS[:, 1] + _KINDS[:, 8]) > 0
-_MARK = (_KINDS[:, 4] + _KINDS[:, 5] + _KINDS[:, 6]) > 0
+_ALPHA = (_KINDS[:, 0] + _KINDS[:, 1] + _KINDS[:, 7]) > 0
+_LOWER = (_KINDS[:, 1] + _KINDS[:, 7]) > 0
+_PLAIN = _ALPHA.copy()
+_PLAIN[48:58] = True  # and digits
+_MARK = (_KINDS[:, 3] + _KINDS[:, 4] + _KINDS[:, 5]) > 0
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def document_statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(rows), np.diff(offsets))
     histogram = np.bincount(owner * 256 + raw, minlength=rows * 256).reshape(rows, 256).astype(float)
     size = np.diff(offsets).astype(float)
-    upper, lower, digit, stop, symbol, exclaim, bar, space, wide = (histogram @ _KINDS).T
+    upper, lower, stop, symbol, exclaim, bar, space, wide = (histogram @ _KINDS).T
     chars = size - histogram[:, _CONTINUES].sum(axis=1)
     share = histogram / np.maximum(size, 1)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -85,9 +89,9 @@ def document_statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct, most = _distinct(hashes, word_row, rows)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (word_row[1:] == word_row[:-1])
-    alpha, low, mark = _running(_ALPHA[raw]), _running(_LOWER[raw]), _running(_MARK[raw])
+    alpha, low, mark, plain = (_running(kind[raw]) for kind in (_ALPHA, _LOWER, _MARK, _PLAIN))
     letters = alpha[stops] - alpha[starts]
-    bare = letters == 0
+    bare = plain[stops] == plain[starts]
     shouted = (letters >= 2) & (low[stops] == low[starts])
     marked = mark[stops] > mark[starts]
     per_row = lambda flags: np.bincount(word_row[flags], minlength=rows)
@@ -101,27 +105,28 @@ def document_statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lines = np.bincount(line_row, minlength=rows).astype(float)
     distinct_lines, _ = _distinct(span_hashes(raw, line_start, line_stop), line_row, rows)
 
-    base, letter_base = n + SMOOTH, upper + lower + wide + 5 * SMOOTH
+    prose = {k: v * SMOOTH for k, v in PROSE.items()}
+    base, letter_base = n + SMOOTH, upper + lower + wide + prose["letters"]
+    size_base = size + prose["letters"] + prose["blanks"]
     root = lambda part, whole: np.sqrt(part / whole)
     return np.stack([
-        np.log1p(chars),
-        (size - space + 5 * SMOOTH) / base,
-        root(upper, letter_base),
-        root(digit, size + 5 * SMOOTH),
-        root(stop, base),
+        np.log(chars + prose["letters"] + prose["blanks"]),
+        (size - space + prose["letters"]) / base,
+        root(upper + prose["upper"], letter_base),
+        root(stop + prose["stops"], base),
         root(symbol, base),
         root(exclaim, base),
         root(bar, base),
-        root(space, size + 5 * SMOOTH),
-        np.log1p(size / lines),
-        np.log1p(distinct) / np.log(n + 3),
+        root(space + prose["blanks"], size_base),
+        np.log(size_base / (lines + 1)),
+        (np.log1p(distinct) / np.log(n + 3) * n + prose["variety"]) / base,
         root(per_row(same), base),
         root(most, base),
         root(lines - distinct_lines, lines + 3),
         root(per_row(bare), base),
         root(per_row(shouted), base),
-        root(wide, size + 5 * SMOOTH),
-        entropy,
+        root(wide, size_base),
+        (entropy * n + prose["entropy"]) / base,
         root(per_row(marked), base),
     ], axis=1)
 

@@ -42,7 +42,8 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     left = np.minimum((places // block + 1) * block, n) - places
     # for every place the selector that holds most values from there on; better ones overwrite
     best, takes = np.zeros(n, np.int8), np.ones(n, np.int32)
-    enough = int(np.argmax(BITS[1:] >= length[~wide].max(initial=0))) + 1
+    # without escapes, no selector beyond the first that holds every value is ever better
+    enough = len(BITS) - 1 if len(table) else int(np.argmax(BITS[1:] >= length.max())) + 1
     for s in range(enough, 0, -1):
         fits = length <= BITS[s]
         some = int(np.count_nonzero(fits))
