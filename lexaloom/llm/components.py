@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+#: Rounds in which what a band's first links left is held against another member of the main component.
+SPREADS = 2
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one partition, a batch at a time: each node
     is linked with the smallest of its tree."""
@@ -60,28 +64,53 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     return edges.toDF("node", "component").union(edges.select("b", "b").distinct()).distinct() if seen["n"] else spark.createDataFrame([], "node long, component long")
 
 
-def bucket_components(rows: DataFrame, confirmed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def bucket_components(rows: DataFrame, confirmed: Callable[[DataFrame], DataFrame], name: str, sketches: DataFrame | None = None, likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link to another.
 
     rows: (band, doc_id), a candidate pair being two documents of one band.
     confirmed: keeps the true ones of the distinct pairs (a, b), a < b.
+    sketches: (doc_id, sketch), from which ``likely`` rules out candidates
+    before their texts are fetched.
+
+    A band first links its members with its smallest member alone. Members that
+    this leaves outside its component are then held against another member of
+    the component, a different one in every band. Pairs within a band follow
+    only between what still is in different components. So a large group of
+    copies costs a few pairs per member, and every candidate pair is
+    confirmed, refuted or already connected."""
+
+    def with_sketch(df: DataFrame, side: str) -> DataFrame:
+        return df.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side) if sketches is not None else df
 
-    A band first links its members with its smallest member alone. Pairs within
-    a band follow only between what the first links left in different
-    components. So a large group of copies costs one pair per member, and every
-    candidate pair is either confirmed, refuted or already connected."""
     hubs = rows.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(rows.join(hubs, "band").select("band", "doc_id", "hub"), f"{name}-buckets")
-    first = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    groups = connected_components(materialize(confirmed(first), f"{name}-links"))
-
-    named = buckets.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    apart = materialize(named.join(mixed, "band"), f"{name}-apart")
-    one = apart.select("band", F.col("doc_id").alias("a"), "hub", F.col("component").alias("ca"))
-    two = apart.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    second = one.where("a <> hub").join(two, "band").where("a < b and ca <> cb").select("a", "b").distinct()
+    near = likely(F.col("sketch_a"), F.col("sketch_b")) if sketches is not None else F.lit(True)
+
+    def links(pairs: DataFrame, step: str) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return materialize(confirmed(with_sketch(with_sketch(pairs, "a"), "b").where(near).select("a", "b")), f"{name}-{step}")
+
+    def apart(groups: DataFrame, step: str) -> DataFrame:
+        """Rows of bands with several components: band, doc_id, hub, component, main (the hub's component)."""
+        named = buckets.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
+        mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main"))
+        return materialize(named.join(mixed.where("lo <> hi").select("band", "main"), "band"), f"{name}-{step}")
+
+    groups = connected_components(links(buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), "links"))
+    for step in range(SPREADS):
+        rows = apart(groups, f"apart{step}")
+        spread = rows.where("component = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "doc_id", F.lit(step)).alias("h"), F.col("doc_id").alias("a"))).alias("s"))
+        others = rows.where("component <> main").select("band", F.col("doc_id").alias("b")).join(spread.select("band", F.col("s.a").alias("a")), "band")
+        late = links(others, f"spread{step}")
+        if late.limit(1).isEmpty():
+            break
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+
+    rows = apart(groups, "rest")
+    one = with_sketch(rows.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a")
+    two = with_sketch(rows.select(F.col("band").alias("band_b"), F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b")
+    second = one.join(two, (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
     late = materialize(confirmed(second), f"{name}-late")
-    if late.limit(1).count():
+    if not late.limit(1).isEmpty():
         groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     return groups
