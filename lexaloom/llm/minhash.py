@@ -23,10 +23,11 @@ from .shingles import shingle_sets
 #: Registers of a signature; bands of ROWS registers each. A pair of similarity
 #: 0.8 misses all bands with probability (1 - 0.8**4)**32, about 5e-8.
 REGISTERS, ROWS = 128, 4
-#: Four bits of each register, as bit planes of two 64-bit words, rule out
-#: candidates before their texts are fetched. Of a pair of similarity 0.8 on
-#: average 24 registers differ there; more than UNLIKE do with probability under 1e-6.
-PLANES, UNLIKE = 4, 48
+#: A sketch rules out candidates before their texts are fetched: the elements of
+#: a set are dealt to BINS by hash, and three bits of the least of each bin are
+#: kept, and which bins have any. Bins that differ count elements that differ;
+#: a candidate goes if they are DEVIATIONS standard deviations too many.
+BINS, PLANES, DEVIATIONS = 512, 4, 4.5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,17 +75,35 @@ def super_minhash(sets: np.ndarray, counts: np.ndarray, registers: int = REGISTE
     return out
 
 
-def _sketch(ranks: np.ndarray) -> np.ndarray:
-    mixed = mix64(ranks)
-    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1) for k in range(PLANES)]
-    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
-
-
-def likely(a: Column, b: Column) -> Column:
-    """Whether two sketches may be of similar sets: few registers differ in any plane."""
-    words = REGISTERS // 64
-    differ = [functools.reduce(lambda x, y: x.bitwiseOR(y), [a[k * words + w].bitwiseXOR(b[k * words + w]) for k in range(PLANES)]) for w in range(words)]
-    return functools.reduce(lambda x, y: x + y, map(F.bit_count, differ)) <= UNLIKE
+def _sketch(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each set: PLANES planes of BINS bits (the first: filled bins), then its size."""
+    rows = len(counts)
+    empty = np.iinfo(np.uint64).max
+    least = np.full(rows * BINS, empty, np.uint64)
+    value = mix64(sets ^ _GOLDEN) >> np.uint64(1)
+    np.minimum.at(least, np.repeat(np.arange(rows), counts) * BINS + (sets >> np.uint64(64 - 9)).astype(np.int64), value)
+    least = least.reshape(rows, BINS)
+    filled = least != empty
+    planes = [filled, *(filled & ((least >> np.uint64(k)) & np.uint64(1)).astype(bool) for k in range(PLANES - 1))]
+    bits = np.concatenate([np.packbits(p, axis=1) for p in planes], axis=1)
+    return np.concatenate((np.ascontiguousarray(bits).view(np.int64), counts[:, None]), axis=1)
+
+
+def likely(percent: int):
+    """Whether two sketches may be of sets of that similarity."""
+
+    def near(a: Column, b: Column) -> Column:
+        words = BINS // 64
+        add = lambda parts: functools.reduce(lambda x, y: x + y, parts)
+        differ = add(F.bit_count(functools.reduce(lambda x, y: x.bitwiseOR(y), [a[k * words + w].bitwiseXOR(b[k * words + w]) for k in range(PLANES)])) for w in range(words))
+        filled = add(F.bit_count(a[w].bitwiseOR(b[w])) for w in range(words))
+        share = 1 - percent / 100
+        # the least of a bin is drawn from the bin's elements without replacement
+        union = (a[PLANES * words] + b[PLANES * words]) / (1 + percent / 100)
+        rest = F.greatest(F.lit(0.02), 1 - filled / union)
+        return differ <= share * filled + DEVIATIONS * F.sqrt(filled * (share * (1 - share)) * rest) + 2
+
+    return near
 
 
 _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
@@ -106,7 +125,7 @@ def _sign(size: int):
                 for k in range(ROWS):
                     key = mix64(key * _GOLDEN + bands[:, :, k])
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1)))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *map(pa.array, finger), lists(key.view(np.int64)), lists(_sketch(ranks))], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *map(pa.array, finger), lists(key.view(np.int64)), lists(_sketch(sets, counts))], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
     return run
 
@@ -174,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     member = materialize(filled.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep"), "minhash-member")
     reps = signed.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    groups = bucket_components(rows, lambda pairs: _confirmed(pairs, texts, shingle_words, similarity_percent), "minhash", reps.select("doc_id", "sketch"), likely)
+    groups = bucket_components(rows, lambda pairs: _confirmed(pairs, texts, shingle_words, similarity_percent), "minhash", reps.select("doc_id", "sketch"), likely(similarity_percent))
     placed = member.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     whole = placed.union(signed.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
     return whole.withColumn("kept", F.col("doc_id") == F.col("component_id"))
