@@ -4,8 +4,9 @@ All texts take the same random walk over their characters: at step j the
 character under the pointer decides, by a random function shared by all
 documents, which bit is put out and whether the pointer moves on. Texts a few
 edits apart fall into step again after each edit, so edit distance becomes
-Hamming distance. The walk restarts every SEGMENT characters, which lets numpy
-take one step of many stretches at once. A fingerprint is a sample of the bits.
+Hamming distance. The walk goes through the whole text without a restart, so
+what follows an insertion or deletion is not shifted for good; numpy takes one
+step of many texts at once. A fingerprint is a sample of the bits.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import chunks, materialize, mix64, range_split, shuffle_partitions
 from .components import bucket_components
 
-#: Characters after which the walk restarts, and its steps for each character.
-SEGMENT, STEPS = 512, 3
+#: Characters after which the walk restarts (more than any text has: never), and its steps for each character.
+SEGMENT, STEPS = 1 << 31, 3
 #: Bits of a fingerprint (texts of fewer than BITS / STEPS characters have fewer).
 BITS = 512
 #: Share of unlike bits of unrelated texts: a third of the steps come after the
@@ -32,8 +33,29 @@ UNRELATED = 1 / 3
 #: Bands of the near-duplicate search.
 BANDS = 16
 
-_WALK = np.random.default_rng(31).integers(0, 2**63, (2, SEGMENT * STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MOVE, _SHOW = _WALK
+#: Steps whose multipliers are computed at once.
+BLOCK = 1 << 15
+#: Up to this many texts a step is taken text by text; numpy's calls would cost more.
+FEW = 24
+
+
+class _Multipliers:
+    """An odd random multiplier for each step of a walk of any length."""
+
+    def __init__(self, salt: int) -> None:
+        self.salt = np.uint64(salt)
+        self.block = functools.lru_cache(maxsize=32)(self._block)
+
+    def _block(self, number: int) -> np.ndarray:
+        steps = np.arange(number * BLOCK, (number + 1) * BLOCK, dtype=np.uint64)
+        return mix64(mix64(steps + self.salt) ^ self.salt) | np.uint64(1)
+
+    def __getitem__(self, step: int) -> np.uint64:
+        return self.block(step // BLOCK)[step % BLOCK]
+
+
+_TOP = np.uint64(63)
+_MOVE, _SHOW = _Multipliers(0x9E3779B97F4A7C15), _Multipliers(0xD1B54A32D192ED03)
 
 
 @functools.lru_cache(maxsize=64)
@@ -60,37 +82,57 @@ def sampled_steps(n_chars: int) -> np.ndarray:
 def fingerprints(texts: list[str]) -> list[str]:
     """`length:bits`, both hexadecimal, of each whole text."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    per_text = -(-sizes // SEGMENT)
-    total = int(per_text.sum())
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    text_of = np.repeat(np.arange(len(texts)), per_text)
-    inside = np.arange(total) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    length = np.minimum(SEGMENT, sizes[text_of] - inside * SEGMENT)
-    # each stretch is followed by a zero, which neither moves the pointer nor shows a bit
-    starts = np.cumsum(length + 1) - (length + 1)
-    hashed = np.zeros(int((length + 1).sum()), np.uint64)
-    hashed[np.arange(len(points)) + np.repeat(np.arange(total), length)] = mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    shown = np.zeros((SEGMENT * STEPS, total), np.uint8)
-    order = np.argsort(-length, kind="stable")  # short stretches leave the walk early
+    # each text is followed by a zero, which neither moves the pointer nor shows a bit
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    hashed = np.zeros(int((sizes + 1).sum()), np.uint64)
+    hashed[np.arange(len(points)) + np.repeat(np.arange(len(texts)), sizes)] = mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(-sizes, kind="stable")  # short texts leave the walk early
+    reach = sizes[order] * STEPS
     pointer = starts[order]
-    reach = length[order] * STEPS
-    active = total
-    for j in range(SEGMENT * STEPS):
-        while active and reach[active - 1] <= j:
-            active = int(np.searchsorted(-reach, -j, side="left"))
-        if not active:
-            break
-        under = hashed[pointer[:active]]
-        shown[j, :active] = (under * _SHOW[j]) >> np.uint64(63)
-        pointer[:active] += ((under * _MOVE[j]) >> np.uint64(63)).astype(np.int64)
-    column = np.empty(total, np.int64)
-    column[order] = np.arange(total)
-    first = np.cumsum(per_text) - per_text
-    out = []
-    for n, base in zip(sizes.tolist(), first.tolist(), strict=True):
-        at = sampled_steps(n)
-        bits = shown[at % (SEGMENT * STEPS), column[base + at // (SEGMENT * STEPS)]] if n else np.zeros(0, np.uint8)
-        out.append(f"{n:x}:{np.packbits(bits).tobytes().hex()}")
+    # the steps that at least FEW texts take, those of one step side by side
+    together = int(reach[FEW - 1]) if len(texts) >= FEW else 0
+    active = np.searchsorted(-reach, -np.arange(together), side="left")
+    offset = np.cumsum(active) - active
+    shown = np.zeros(int(active.sum()), np.uint8)
+    for base in range(0, together, BLOCK):
+        move, show = _MOVE.block(base // BLOCK), _SHOW.block(base // BLOCK)
+        stop = min(base + BLOCK, together)
+        for j, (n, at) in enumerate(zip(active[base:stop].tolist(), offset[base:stop].tolist(), strict=True)):
+            under = hashed[pointer[:n]]
+            shown[at : at + n] = (under * show[j]) >> _TOP
+            pointer[:n] += ((under * move[j]) >> _TOP).view(np.int64)
+    out = [""] * len(texts)
+    for place, k in enumerate(order.tolist()):
+        steps = sampled_steps(int(sizes[k]))
+        early = steps < together
+        bits = np.zeros(len(steps), np.uint8)
+        bits[early] = shown[offset[steps[early]] + place]
+        if reach[place] > together:
+            text = hashed[starts[k] : starts[k] + sizes[k] + 1]
+            rest = _walk_on(text, int(pointer[place] - starts[k]), together, int(reach[place]))
+            bits[~early] = rest[steps[~early] - together]
+        out[k] = f"{sizes[k]:x}:{np.packbits(bits).tobytes().hex()}"
+    return out
+
+
+def _walk_on(text: np.ndarray, at: int, start: int, stop: int) -> np.ndarray:
+    """The bits of the steps ``start`` .. ``stop`` - 1 over one text's hashed characters, from its character ``at`` on."""
+    seen = np.zeros(stop - start, np.int64)
+    codes = text[at:].tolist()
+    place = 0
+    for number in range(start // BLOCK, -(-stop // BLOCK)):
+        low, high = max(start, number * BLOCK), min(stop, (number + 1) * BLOCK)
+        visited = []
+        for m in _MOVE.block(number)[low - number * BLOCK : high - number * BLOCK].tolist():
+            visited.append(place)
+            place += codes[place] * m >> 63 & 1
+        seen[low - start : high - start] = visited
+    under = text[at + seen]
+    out = np.zeros(stop - start, np.uint8)
+    for number in range(start // BLOCK, -(-stop // BLOCK)):
+        low, high = max(start, number * BLOCK), min(stop, (number + 1) * BLOCK)
+        out[low - start : high - start] = (under[low - start : high - start] * _SHOW.block(number)[low - number * BLOCK : high - number * BLOCK]) >> _TOP
     return out
 
 
