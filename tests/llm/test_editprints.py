@@ -98,22 +98,3 @@ def test_near_duplicates(spark):
     groups |= {900: 900, 901: 900, 902: groups[rows[0][0]]}
     got = {r["doc_id"]: r["component_id"] for r in E.edit_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: min(k for k in groups if groups[k] == g) for i, g in groups.items()}
-
-
-def test_likeness_survives_insertions_and_deletions():
-    rnd = random.Random(4)
-    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
-    bases = [text(4000) for _ in range(100)]
-    prints = E.fingerprints(bases)
-    for n, inserted, deleted in ((5, 0.8, 0.8), (20, 0.5, 0.5), (60, 0.18, 0.18)):
-        for edited, least in (([text(n) + t for t in bases], inserted), ([t[n:] for t in bases], deleted)):
-            assert np.mean([E.likeness(a, b) for a, b in zip(prints, E.fingerprints(edited), strict=True)]) > least
-
-
-def test_walk_of_few_and_of_many_texts_is_the_same(monkeypatch):
-    rnd = random.Random(5)
-    texts = ["".join(rnd.choice("abc dé") for _ in range(rnd.choice([0, 3, 100, 900, 14_000]))) for _ in range(60)]
-    together = E.fingerprints(texts)
-    assert together == [E.fingerprints([t])[0] for t in texts]
-    monkeypatch.setattr(E, "FEW", 1)
-    assert together == E.fingerprints(texts)
