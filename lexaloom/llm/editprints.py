@@ -29,8 +29,10 @@ BITS = 512
 #: Share of unlike bits of unrelated texts: a third of the steps come after the
 #: last character, and half of the others are alike by chance.
 UNRELATED = 1 / 3
-#: Bands of the near-duplicate search.
-BANDS = 16
+#: Bands of the near-duplicate search for each length that a text is filed under,
+#: and the share of them that a pair at the limit of likeness has in common: it
+#: misses all with probability (1 - SHARED)**BANDS, about 1e-4.
+BANDS, SHARED = 128, 0.07
 
 _WALK = np.random.default_rng(31).integers(0, 2**63, (2, SEGMENT * STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MOVE, _SHOW = _WALK
@@ -180,21 +182,68 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def band_keys(print_: str) -> list[int]:
-    """A hash of each band's steps and bits; a step's band depends on the step alone."""
+def _next_length(length: int) -> int:
+    return max(length + 1, length * 9 // 8)
+
+
+@functools.lru_cache(maxsize=64)
+def _lengths(octave: int) -> list[int]:
+    """The lengths below 2**octave that texts are filed under."""
+    out = [1]
+    while _next_length(out[-1]) < 1 << octave:
+        out.append(_next_length(out[-1]))
+    return out
+
+
+def _longest(length: int, least: float) -> int:
+    """No longer text is as like as ``least`` to one that is shorter than the next length.
+
+    All steps that only the longer has count as unlike, so the shorter has
+    ``least`` of the sampled ones; 0.1 is over four standard deviations of that share."""
+    return int(_next_length(length) / max(least - 0.1, 0.05)) + 1
+
+
+@functools.lru_cache(maxsize=4096)
+def _drawn(length: int, least: float) -> tuple[int, np.ndarray]:
+    """How many of the sampled steps over the first ``length`` characters all texts filed
+    under it show, and which of them each band draws (with replacement)."""
+    steps = sampled_steps(_longest(length, least))
+    shown = int((steps < STEPS * length).sum())
+    # unlike steps at the limit; a quarter more because they may crowd in the drawn ones
+    unlike = min(1.25 * (1 - least) * UNRELATED, 0.5)
+    each = min(64, max(1, int(np.log(SHARED) / np.log1p(-unlike)))) if unlike > 0 else 64
+    draw = mix64(mix64(np.arange(BANDS * each, dtype=np.uint64) + np.uint64(77)) ^ np.uint64(length))
+    return shown, (draw % np.uint64(shown)).astype(np.int64).reshape(BANDS, each)
+
+
+def band_keys(print_: str, least: float = 0.8) -> list[int]:
+    """Hashes of bands of bits, BANDS for each length that the text is filed under.
+
+    Texts of likeness ``least`` or more have a length in common: the last that is
+    no longer than the shorter one. A length's bands look only at steps that
+    all texts filed under it show, whatever their own lengths."""
     n, bits = _parse(print_)
     at = sampled_steps(n)
-    band = (mix64(at.astype(np.uint64) + np.uint64(77)) % np.uint64(BANDS)).astype(np.int64)
-    one = mix64((at.astype(np.uint64) << np.uint64(1)) | bits)
-    keys = np.zeros(BANDS, np.uint64)
-    np.add.at(keys, band, one)
-    return mix64(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+    out = []
+    for length in reversed(_lengths(n.bit_length())):
+        if length > n:
+            continue
+        if n > _longest(length, least):
+            break
+        shown, drawn = _drawn(length, least)
+        own = np.zeros((BANDS, 8), np.uint8)
+        packed = np.packbits(bits[at < STEPS * length][:shown][drawn], axis=1)
+        own[:, : packed.shape[1]] = packed
+        name = mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(length) * np.uint64(BANDS))
+        out += mix64(own.view(np.uint64)[:, 0] ^ name).view(np.int64).tolist()
+    return out
 
 
 def edit_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id (smallest id reachable).
 
-    Bit-sampled banding finds candidates, whole fingerprints verify them
+    Bit-sampled banding finds candidates (all but about 1e-4 of the pairs at
+    ``least``, fewer of the closer ones), whole fingerprints verify them
     (likeness ``least`` or more). Equal fingerprints are one class and only one
     member of it is searched for; null and empty texts are alike; null ids are left out; of rows with one id the smallest text counts."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
@@ -210,9 +259,11 @@ def edit_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(p) for p in batch.column("fingerprint").to_pylist()]
-            ids = np.repeat(np.asarray(batch.column("rep"), np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array([k for own in keys for k in own], pa.int64()), pa.array(ids)], ["band", "doc_id"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                keys = [band_keys(p, least) for p in part.column("fingerprint").to_pylist()]
+                ids = np.repeat(np.asarray(part.column("rep"), np.int64), [len(own) for own in keys])
+                yield pa.RecordBatch.from_arrays([pa.array([k for own in keys for k in own], pa.int64()), pa.array(ids)], ["band", "doc_id"])
 
     prints = materialize(reps, "editprint-classes")
     bands = prints.mapInArrow(spread, "band long, doc_id long")

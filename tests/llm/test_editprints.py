@@ -98,3 +98,36 @@ def test_near_duplicates(spark):
     groups |= {900: 900, 901: 900, 902: groups[rows[0][0]]}
     got = {r["doc_id"]: r["component_id"] for r in E.edit_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: min(k for k in groups if groups[k] == g) for i, g in groups.items()}
+
+
+def altered(rnd, text):
+    """Base texts and copies with replaced, inserted, deleted and appended characters."""
+    out = []
+    for n in (40, 150, 600, 1500, 4000):
+        for _ in range(12):
+            t = text(n + rnd.randrange(n // 8))
+            k, few = rnd.randrange(len(t)), max(1, len(t) // 400)
+            out += [t, t[:k] + "x" + t[k + 1 :], t[:k] + text(few) + t[k:], t[:k] + t[k + few :], *(t + text(len(t) * percent // 100) for percent in (5, 10, 15))]
+    return out
+
+
+def test_near_texts_share_bands():
+    rnd = random.Random(6)
+    prints = E.fingerprints(altered(rnd, lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))))
+    keys = [set(E.band_keys(p)) for p in prints]
+    near = [(i, j) for j in range(len(prints)) for i in range(j - j % 7, j) if E.likeness(prints[i], prints[j]) >= 0.8]
+    assert len(near) > 500 and all(keys[i] & keys[j] for i, j in near)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rnd = random.Random(8)
+    rows = list(enumerate(altered(rnd, lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n)))))
+    prints = E.fingerprints([t for _, t in rows])
+    group = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if group[i] != group[j] and E.likeness(prints[i], prints[j]) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = E.edit_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(got)] == group
