@@ -4,8 +4,11 @@ All texts take the same random walk over their characters: at step j the
 character under the pointer decides, by a random function shared by all
 documents, which bit is put out and whether the pointer moves on. Texts a few
 edits apart fall into step again after each edit, so edit distance becomes
-Hamming distance. The walk restarts every SEGMENT characters, which lets numpy
-take one step of many stretches at once. A fingerprint is a sample of the bits.
+Hamming distance. The walk restarts every SEGMENT characters, which bounds what
+an edit that the walk is slow to recover from can cost, and lets numpy take one
+step of many stretches at once. The stretches are cut at fixed places: an
+insertion or deletion shifts all later ones, so in long texts its cost grows with
+the text behind it. A fingerprint is a sample of the bits.
 """
 
 from __future__ import annotations
@@ -103,7 +106,8 @@ def _parse(print_: str) -> tuple[int, np.ndarray]:
 
 
 def likeness(one: str, other: str) -> float:
-    """1 for equal fingerprints, about 1 - edits / length for edited texts, about 0 for unrelated ones."""
+    """1 for equal fingerprints, less the more characters were replaced, little for
+    unrelated ones. Inserted or deleted characters count anew in every later SEGMENT."""
     if one == other:
         return 1.0
     (n, a), (m, b) = sorted((_parse(one), _parse(other)), key=lambda p: p[0])
