@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Host labels from the right that rules may have; longer hosts are matched by their last labels.
-LABELS = 8
 #: Seconds of a slice of time. Rule and slice together are the join key, so a
 #: rule with a long history or very many captures is spread over many tasks.
 SLICE = 90 * 86_400
@@ -24,10 +22,10 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(authority, r"^.*@|:[0-9]*$|\.(?=:[0-9]*$|$)", ""))
 
 
-def suffixes(host: Column, most: int = LABELS) -> Column:
-    """The host and its parent domains, the whole host first."""
+def suffixes(host: Column, most: int | None = None) -> Column:
+    """The host and its parent domains, the whole host first; only those of up to ``most`` labels if given."""
     parts = F.split(host, r"\.")
-    upto = F.least(F.size(parts), F.lit(most))
+    upto = F.size(parts) if most is None else F.least(F.size(parts), F.lit(most))
     return F.transform(F.sequence(upto, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
 
 
@@ -54,12 +52,14 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     seconds = lambda c: F.unix_seconds(c)
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(at_col).cast("timestamp").alias("fetched_at"))
     moments = own.where("host <> '' and fetched_at is not null").select("host", "fetched_at").distinct()
-    probes = moments.select("host", "fetched_at", F.explode(suffixes(F.col("host"))).alias("rule"), F.floor(seconds(F.col("fetched_at")) / slice_seconds).alias("slice"))
+    active = intervals(entries)
+    # no rule of the list has more labels, so longer parents of a host would meet nothing
+    most = active.agg(F.max(F.size(F.split("rule", r"\."))).alias("labels")).first()["labels"] or 1
+    probes = moments.select("host", "fetched_at", F.explode(suffixes(F.col("host"), most)).alias("rule"), F.floor(seconds(F.col("fetched_at")) / slice_seconds).alias("slice"))
 
     span = moments.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high")).first()
     if span["low"] is None:
         span = {"low": None, "high": None}
-    active = intervals(entries)
     low, high = (F.lit(span[k]).cast("timestamp") for k in ("low", "high"))
     # only the slices in which something was fetched
     clipped = active.where((F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") > low)))

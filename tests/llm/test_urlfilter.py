@@ -73,3 +73,14 @@ def test_empty_tables(spark):
     judged = U.judge_captures(captures(spark, [(1, "http://a/", 5, "r")]), entries(spark, [("a", False, "add", 1)]))
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hosts_of_many_labels(spark):
+    deep = ".".join("abcdefghij") + ".com"
+    events = [(deep, False, "add", 1), ("www." + deep, True, "add", 1), (".".join(f"x{i}" for i in range(40)), False, "add", 1)]
+    pages = [(i, f"http://{host}/p", 5, "own") for i, host in enumerate([deep, "www." + deep, "z.y." + deep, "other." + deep[2:], ".".join(f"x{i}" for i in range(-60, 40))])]
+    got = U.judge_captures(captures(spark, pages), entries(spark, events)).collect()
+    assert sorted(((r["page_id"], r["rule"], r["active_since"], r["n_active"], r["kept"]) for r in got), key=str) == brute(pages, events)
+    assert [r["kept"] for r in sorted(got)] == [False, True, False, True, False]
+    got = spark.range(1).select(U.suffixes(F.lit(deep)).alias("s")).first()["s"]
+    assert got[0] == deep and len(got) == 11
