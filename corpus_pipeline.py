@@ -11,31 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaloom.llm import langid, linededup, minhash, packing, quality
-from lexaloom.llm.common import materialize
+from lexaloom.llm.common import materialize, only_rows
 
 #: Documents whose likeliest language has a lower probability than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _only(docs: DataFrame, good: DataFrame) -> DataFrame:
-    ids = good.select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("good_id"), "left_semi")
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the operator's threshold."""
-    scored = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scored.where("predicted = 1"))
+    """Rows whose own quality score reaches the operator's threshold, whatever their id: null and repeated ones too."""
+    scored = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True)
+    return only_rows(docs, scored.where("predicted = 1"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is clear."""
-    found = langid.identify_languages(docs)
-    return _only(docs, found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    """Rows with letters whose own language is clear, whatever their id: null and repeated ones too."""
+    found = langid.identify_languages(docs, keyed=True)
+    return only_rows(docs, found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one resembles; n_chars follows the text."""
+    """All documents, without lines that an earlier one resembles; n_chars follows the text. Rows of null ids stay as they are."""
     cut = linededup.dedup_lines(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -43,8 +38,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by five-word shingles."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates by five-word shingles; each
+    text of a repeated id is a document, and so is each of a null id, after all others."""
+    return minhash.drop_near_duplicates(docs, keep_null_ids=True)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,23 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The row_key column in the schema that an Arrow function returns.
+KEY_TYPE = ", key struct<k1: long, k2: long>"
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """128 bits of a row's id and text, either of which may be null."""
+    parts = (id_.isNull(), id_, text.isNull(), text)
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *parts).alias("k2"))
+
+
+def only_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose row_key is in column ``key`` of ``keys``."""
+    key = row_key(F.col(id_col), F.col(text_col))
+    good = keys.select(F.col("key.k1").alias("good_1"), F.col("key.k2").alias("good_2")).distinct()
+    return docs.join(good, (key["k1"] == F.col("good_1")) & (key["k2"] == F.col("good_2")), "left_semi")
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for rows that no model may learn from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import KEY_TYPE, held_out, row_key
 
 #: Hashed features; n-grams of 1 to GRAMS characters.
 DIMENSIONS, GRAMS = 1 << 14, 3
@@ -174,13 +174,15 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mode
     return Model(languages, idf, weights, bias, fit_temperature(logits, np.array([y for *_, y in checks], int)))
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1).
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keyed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1); ``keyed``: and key, the row_key.
 
     ``und`` with score 0: null text, text without a letter, and every text where
     nothing could be learnt. Ties go to the alphabetically first language.
     Repeated rows are predicted each; a null id is kept and may be learnt from."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    extra = ["key"] if keyed else []
+    key = [row_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), *key)
     model = fit(slim)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS by SAMPLE_LANGUAGES numbers at most
 
@@ -188,6 +190,6 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = shared.value
         for batch in batches:
             found = [own.predict(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *map(batch.column, extra)], ["doc_id", "held_out", "lang_pred", "score", *extra])
 
-    return slim.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return slim.select("doc_id", "text", held_out().alias("held_out"), *extra).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + KEY_TYPE * len(extra))

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64, ragged, utf8
+from ..operators.ranking import numbered
+from .common import chunks, materialize, mix64, only_rows, ragged, range_split, row_key, shuffle_partitions, utf8
 from .components import bucket_components
 from .shingles import shingle_sets
 
@@ -199,7 +200,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     return whole.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one of the smallest id."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_doc_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_doc_id"], "left_semi")
+def drop_near_duplicates(docs: DataFrame, keep_null_ids: bool = False, **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one of the smallest id.
+
+    Where ids are repeated or null, every different pair of id and text is a
+    document of its own: by id, those of null ids last, then by a hash of the
+    text. Wholly equal ones stay or go together. Rows of null ids are left out
+    unless ``keep_null_ids``."""
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    if not keep_null_ids:
+        docs = docs.where(F.col(id_col).isNotNull())
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count():
+        kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_doc_id"))
+        return docs.join(kept, docs[id_col] == kept["kept_doc_id"], "left_semi")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
+    each = materialize(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min("text").alias("text")), "minhash-documents")
+    # ranges of ids, then blocks of the key's hash for null ids, so that no task numbers everything
+    group = [F.col("id").isNull(), F.when(F.col("id").isNull(), F.shiftright("key.k1", 54).cast("int")).otherwise(range_split(each.where("id is not null"), "id", shuffle_partitions(docs.sparkSession)))]
+    order = [F.asc_nulls_last("id"), F.asc("key")]
+    own = materialize(numbered(each.select("key", "id"), group, order, "doc_id").select("key", "doc_id"), "minhash-numbers")
+    kept = near_duplicates(each.join(own, "key").select("doc_id", "text"), **options).where("kept")
+    return only_rows(docs, own.join(kept.select("doc_id"), "doc_id", "left_semi"), id_col, text_col)

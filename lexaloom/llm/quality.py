@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, materialize, utf8
+from .common import KEY_TYPE, chunks, held_out, materialize, row_key, utf8
 from .shingles import span_hashes, spans
 
 FEATURES = (
@@ -132,16 +132,17 @@ def document_statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def statistics_table(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of every whole text; null as empty."""
+    """doc_id, x: the statistics of every whole text; null as empty. A column ``key`` is passed on."""
+    keyed = [c for c in ("key",) if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 x = document_statistics(*utf8(part.column("text")))
                 listed = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed, *map(part.column, keyed)], ["doc_id", "x", *keyed])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text", *keyed).mapInArrow(run, "doc_id long, x array<double>" + KEY_TYPE * len(keyed))
 
 
 @dataclass(frozen=True)
@@ -224,19 +225,21 @@ def fit(table: DataFrame, labels: DataFrame) -> Discriminant:
     return fit_moments({k: (s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)) for k, s in enumerate(sums)})
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted; ``keyed``: and key, the row_key.
 
     Null texts count as empty, and empty ones are scored like any other. Repeated
     rows are scored each. Without labels of both classes the score is constant
     (0.5 without any). A null id is kept. Columns of ``docs`` other than the two named are not looked at."""
-    table = materialize(statistics_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))), "quality-statistics")
+    extra = ["key"] if keyed else []
+    key = [row_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
+    table = materialize(statistics_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)), "quality-statistics")
     model = fit(table, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column("x").flatten()).reshape(-1, len(FEATURES))
             score = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *map(batch.column, extra)], ["doc_id", "held_out", "score", "predicted", *extra])
 
-    return table.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return table.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + KEY_TYPE * len(extra))

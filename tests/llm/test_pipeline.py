@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexaloom.llm import langid, minhash, packing, quality
@@ -52,3 +55,24 @@ def test_run(spark, stages):
 
 def test_queries_cover_every_operator():
     assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_null_and_repeated_ids(spark, stages):
+    changed = F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.floor(F.col("doc_id") / 4))
+    docs = corpus_pipeline.materialize(stages["documents"].withColumn("doc_id", changed.cast("long")), "changed-ids")
+    count = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    good = count(quality.score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1"))
+    every = count(docs)
+    assert 0 < good[None] and any(0 < good[i] < n for i, n in every.items() if i is not None)
+    assert count(corpus_pipeline.keep_quality(spark, docs, SF)) == good
+    found = langid.identify_languages(docs).where("lang_pred <> 'und' and score >= 0.5")
+    assert count(corpus_pipeline.keep_languages(spark, docs, SF)) == count(found)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " end"), (None, c), (None, c + " end"), (None, a), (3, None), (None, None), (4, c[:20])]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    last = [r for r in kept if r[0] is None and r[1] in (c, c + " end")]
+    assert len(last) == 1 and sorted((r for r in kept if r not in last), key=str) == sorted([(1, a), (1, b), (3, None), (None, None), (4, c[:20])], key=str)
