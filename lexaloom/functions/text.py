@@ -3,6 +3,7 @@ where the driver needs one (the query compiler)."""
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,18 +128,26 @@ def page_url(pattern: str, page_id: Column) -> Column:
     return F.replace(F.lit(pattern), F.lit("{pageid}"), page_id.cast("string"))
 
 
+# Start and multiplier of the 64-bit FNV-1a hash.
+FNV_OFFSET, FNV_PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
+
+
 def fnv1a64_hex(text: Column) -> Column:
     """16 hexadecimal digits of the 64-bit FNV-1a hash of the UTF-8 bytes; SQL has no wrapping multiplication."""
     @F.pandas_udf("string")
     def hashed(values: pd.Series) -> pd.Series:
-        def one(value: str | None) -> str | None:
-            if value is None:
-                return None
-            h = 14695981039346656037
-            for b in value.encode():
-                h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
-
-        return values.map(one)
+        # one byte of all values at a time; values of fewer bytes drop out, the longest first
+        raw = [v.encode() for v in values.fillna("")]
+        order = np.argsort([-len(r) for r in raw], kind="stable")
+        sizes = np.array([len(raw[i]) for i in order], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint64)
+        h = np.full(len(raw), FNV_OFFSET, np.uint64)
+        for k in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(-sizes, -k, side="left"))
+            h[:n] = (h[:n] ^ flat[starts[:n] + k]) * FNV_PRIME
+        out = np.empty(len(raw), object)
+        out[order] = [f"{x:016x}" for x in h.tolist()]
+        return pd.Series(out, index=values.index).where(values.notna(), None)
 
     return hashed(text)

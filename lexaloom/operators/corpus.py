@@ -23,9 +23,12 @@ def collect_corpus(pages: DataFrame, least: int = CRAWL_CHARS) -> DataFrame:
     short texts dropped, failed fetches (null html) dropped, dense numbers per source in order of seq."""
     kept = pages.withColumn("text", clean_tail(F.coalesce("text", F.lit("")))).where(long_enough(F.col("text"), least) & F.col("html").isNotNull())
     block = F.floor(F.col("seq") / NUMBERS_AT_ONCE)
-    sources = numbered(kept, [F.col("source"), block], [F.col("seq")], "__all")
-    first = sources.groupBy("source").agg(F.min("__all").alias("__first"))
-    return sources.join(first, "source").select("source", (F.col("__all") - F.col("__first") + 1).alias("doc_id"), "page_id", "title", "text", "html")
+    # only (source, seq), which name a fetch, are ordered; texts are moved once, by both
+    slim = numbered(kept.select("source", "seq"), [F.col("source"), block], [F.col("seq")], "__all")
+    first = slim.groupBy("source").agg(F.min("__all").alias("__first"))
+    numbers = slim.join(first, "source").select(F.col("source").alias("__source"), F.col("seq").alias("__seq"), (F.col("__all") - F.col("__first") + 1).alias("doc_id"))
+    named = kept.join(numbers, F.col("source").eqNullSafe(F.col("__source")) & (F.col("seq") == F.col("__seq")))
+    return named.select("source", "doc_id", "page_id", "title", "text", "html")
 
 
 def crawl_counters(pages: DataFrame, least: int = CRAWL_CHARS) -> tuple[DataFrame, Observation]:

@@ -54,6 +54,10 @@ def conditional_requests(tasks: DataFrame, docs: DataFrame) -> DataFrame:
     return tasks.join(docs.select("norm_url", "etag", "last_modified"), "norm_url", "left").select("id", "url", "norm_url", "source", F.col("etag").alias("if_none_match"), F.col("last_modified").alias("if_modified_since"))
 
 
+#: Characters after the common beginning of a host's URLs by which new ones are dealt to tasks.
+PREFIX = 3
+
+
 def changed(responses: DataFrame, docs: DataFrame) -> DataFrame:
     """Successful responses whose content is new: (the responses' columns, content_hash)."""
     good = responses.where("error is null and status = 200").withColumn("content_hash", F.sha1("html"))
@@ -70,7 +74,15 @@ def upsert_docs(docs: DataFrame, news: DataFrame) -> DataFrame:
     both = docs.join(given, F.col("norm_url") == F.col("new_url"), "full")
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     old = both.where("norm_url is not null").select("id", "norm_url", *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in fields])
-    fresh = numbered(both.where("norm_url is null").select("new_url", "new"), [F.substring("new_url", 1, 24)], [F.col("new_url")], "rank")
+    new = both.where("norm_url is null").select("new_url", "new")
+    # a host's URLs are told apart by what follows their common beginning, so that no task orders a whole source
+    host = F.regexp_extract("new_url", "^[^/]*(//[^/]*/?)?", 0)
+    ends = new.groupBy(host.alias("host")).agg(F.min("new_url").alias("low"), F.max("new_url").alias("high"))
+    alike = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low"))), lambda i: F.left("low", i) == F.left("high", i)))
+    known_host = ends.select(F.col("host"), alike.alias("alike"))
+    marked = new.select(F.col("new_url"), host.alias("host")).join(known_host, "host")
+    ranks = numbered(marked, [F.col("host"), F.left("new_url", F.col("alike") + PREFIX)], [F.col("new_url")], "rank").select(F.col("new_url").alias("ranked_url"), "rank")
+    fresh = new.join(ranks, F.col("new_url") == F.col("ranked_url"))
     added = fresh.select((top + F.col("rank")).cast("long").alias("id"), F.col("new_url").alias("norm_url"), *[F.col(f"new.{c}").alias(c) for c in fields])
     return old.unionByName(added).select(*[f.split()[0] for f in DOCS.split(", ")])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio, stems, tokens
 from .ranking import numbered, running_total
+from .terms import term_frequency
 
 # Numbers of the known sources and the address of a page in each.
 SOURCE_IDS = {"ruwiki": 1, "ru_wikisource": 2}
@@ -41,7 +42,7 @@ def combined(inputs: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:
     documents (doc_id, text) and metadata (doc_id, page_id, title, source), in order.
 
     Documents need a positive number and metadata with a title. Of repeated
-    metadata the one of the largest ``line`` counts, where that column exists."""
+    metadata the last line counts, by the column ``line`` that ``read_meta`` gives."""
     out: DataFrame | None = None
     for place, (docs, meta) in enumerate(inputs):
         order = F.col("line") if "line" in meta.columns else F.struct("page_id", "title", "source")
@@ -61,8 +62,8 @@ def global_ids(docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, stemmed: bool = True) -> DataFrame:
     """(term, doc_id), each pair once: repeats go before the rows are multiplied, so there is no shuffle."""
-    words = tokens(F.col("text"))
-    return docs.select("doc_id", F.explode(F.array_distinct(stems(words) if stemmed else words)).alias("term")).select("term", "doc_id")
+    words = F.array_distinct(tokens(F.col("text")))
+    return docs.select("doc_id", F.explode(F.array_distinct(stems(words)) if stemmed else words).alias("term")).select("term", "doc_id")
 
 
 def dictionary(pairs: DataFrame) -> DataFrame:
@@ -110,15 +111,13 @@ def load_index(spark: SparkSession, path: str) -> Index:
 
 def index_statistics(docs: DataFrame, index: Index, stemmed: bool = True) -> DataFrame:
     """One row: counts, average bytes of a token and of a term, bytes of the file's sections."""
-    words = tokens(F.col("text"))
-    words = stems(words) if stemmed else words
-    token = docs.select(F.size(words).alias("n"), F.octet_length(F.array_join(words, "")).alias("bytes")).agg(F.sum("n").alias("tokens"), F.sum("bytes").alias("token_bytes"))
+    counted = term_frequency(docs, stemmed)
+    token = counted.agg(F.sum("count").alias("tokens"), F.sum(F.octet_length("term") * F.col("count")).alias("token_bytes"))
     term = index.dictionary.agg(F.count("*").alias("terms"), F.sum(F.octet_length("term")).alias("term_bytes"), F.sum("df").alias("df"))
     record = index.docs.agg(F.count("*").alias("docs"), F.sum(F.octet_length("title")).alias("title_bytes"))
-    row = {f"{k}": table.select(k).scalar() for table, keys in ((token, ("tokens", "token_bytes")), (term, ("terms", "term_bytes", "df")), (record, ("docs", "title_bytes"))) for k in keys}
-    value = {k: F.coalesce(v, F.lit(0)).cast("long") for k, v in row.items()}
-    one = docs.sparkSession.range(1)
-    known = one.select(*[v.alias(k) for k, v in value.items()])
+    # three tables of one row each, beside one another
+    every = token.unionByName(term, True).unionByName(record, True)
+    known = every.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in every.columns])
     return known.select(
         F.col("docs").alias("docs_count"), F.col("terms").alias("terms_count"), F.col("tokens").alias("total_tokens"),
         ratio(F.col("token_bytes"), F.col("tokens")).alias("avg_token_bytes"), ratio(F.col("term_bytes"), F.col("terms")).alias("avg_term_bytes"),

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stems, tokens
+from ..functions.text import stem, tokens
 
-#: Ranks that a fit looks at, and the offsets that it tries.
+#: Ranks of one frequency that one row holds as an array.
+RANKS_AT_ONCE = 100_000
+# Ranks that a fit looks at, and the offsets that it tries.
 FIT_RANKS = 2000
 FIT_OFFSETS = (0.0, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 
 
 def term_frequency(docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(term, count) over all tokens."""
-    words = tokens(F.col("text"))
-    return docs.select(F.explode(stems(words) if stemmed else words).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+    """(term, count) over all tokens. Stems are cut after counting, once per distinct token."""
+    raw = docs.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+    return raw.groupBy(stem(F.col("term")).alias("term")).agg(F.sum("count").alias("count")) if stemmed else raw
 
 
 def top_terms(frequencies: DataFrame, k: int) -> DataFrame:
@@ -30,10 +32,12 @@ def rank_frequency(frequencies: DataFrame) -> DataFrame:
     """(rank, frequency), ranks from 1, equal counts at different ranks.
 
     Only how many terms have each count is ordered globally, which is a small
-    table; the ranks of one count are then a range."""
+    table; the ranks of one count are then a range, made in pieces."""
     alike = frequencies.groupBy("count").agg(F.count("*").alias("terms"))
     upto = alike.withColumn("upto", F.sum("terms").over(Window.orderBy(F.desc("count"))))
-    return upto.select(F.explode(F.sequence(F.col("upto") - F.col("terms") + 1, F.col("upto"))).alias("rank"), F.col("count").alias("frequency"))
+    pieces = upto.select("count", "upto", F.explode(F.sequence(F.col("upto") - F.col("terms") + 1, F.col("upto"), F.lit(RANKS_AT_ONCE).cast("long"))).alias("from"))
+    until = F.least(F.col("from") + RANKS_AT_ONCE - 1, F.col("upto"))
+    return pieces.select(F.explode(F.sequence(F.col("from"), until)).alias("rank"), F.col("count").alias("frequency"))
 
 
 def zipf_curve(ranked: DataFrame, s: float = 1.0) -> DataFrame:

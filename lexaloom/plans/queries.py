@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.urls import normalize_url
 from ..operators import corpus, crawl, index, terms
+from ..sources import files
 from . import boolean
 
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхиыклмнопярстувьюйз"
@@ -333,6 +334,73 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.category_seeds(members, "https://ru.wikipedia.org/?curid={pageid}", "ruwiki", 100)
 
 
+# --- sources and sinks: written to the shared folder and read back ------------
+
+
+def terms_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "terms")
+    files.write_tsv(term_frequency(spark, sf_dir), path)
+    return files.read_tsv(spark, path, "term string, count long")
+
+
+def zipf_tsv_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "zipf")
+    files.write_tsv(_ranked(spark, sf_dir), path)
+    return terms.zipf_curve(files.read_tsv(spark, path, "rank long, frequency long"))
+
+
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "tokens")
+    files.write_tokens(corpus.exploded_tokens(_documents(spark, sf_dir)), path)
+    return files.read_tokens(spark, path).groupBy("term").agg(F.count("*").alias("count"))
+
+
+def token_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "token-meta")
+    stats = corpus.token_statistics(_documents(spark, sf_dir))
+    files.write_token_meta(stats.withColumn("doc_path", F.concat(F.lit("docs/"), F.format_string("%08d", "doc_id"), F.lit(".txt"))), path)
+    return files.read_tsv(spark, path, "doc_path string, tok_file string, tokens_count long, token_chars long, bytes_in long")
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and characters of the text files of every source, a line feed after each text."""
+    path = files.scratch(spark, "texts")
+    _documents(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("text"), "source").write.partitionBy("source").text(path)
+    source = F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")
+    sizes = files.scan_files(spark, path).groupBy(source).agg(F.sum("length").alias("bytes"))
+    chars = files.read_texts(spark, path).groupBy(source).agg(F.sum(F.length("text")).alias("chars"))
+    return sizes.join(chars, "source")
+
+
+def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "seeds")
+    urls = _table(spark, sf_dir, "pages").select(F.concat(F.lit("\t "), "url", F.lit(" \t")).alias("value"))
+    urls.union(spark.createDataFrame([("",), (" \t ",)], "value string")).write.text(path)
+    return files.read_seeds(spark, path)
+
+
+def meta_last_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document has two lines of metadata, an old one first."""
+    path = files.scratch(spark, "meta")
+    [(docs, meta)] = _inputs(spark, sf_dir)
+    line = lambda n, page, title: meta.select(F.lit(n).alias("n"), "doc_id", page.alias("page_id"), title.alias("title"), "source", F.lit("r").alias("raw_file"), F.lit("t").alias("text_file"))
+    both = line(0, F.col("page_id") + 1_000_000, F.lit("zzz")).union(line(1, F.col("page_id"), F.col("title")))
+    files.write_tsv(both.orderBy("n", "doc_id").coalesce(1).drop("n"), path)
+    return index.combined([(docs, files.read_meta(spark, path))]).select("local_id", "page_id", "title")
+
+
+def search_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested query over an index that was saved and loaded: postings of other terms are not read."""
+    path = files.scratch(spark, "index")
+    _index(spark, sf_dir).save(path)
+    return boolean.hits(index.load_index(spark, path), BOOLEAN["bool_nested"])
+
+
+def leading_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(".tok"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("_a9.tok")))
+    return _documents(spark, sf_dir).select("doc_id", T.leading_doc_id(name).alias("leading"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -340,6 +408,7 @@ QUERIES = {
         term_frequency, term_frequency_stemmed, term_totals, top_terms, zipf_rank, zipf_curve, mandelbrot_candidates, mandelbrot_best,
         postings_long, postings_array, dictionary_df, index_docs, doc_offsets, index_stats, source_lookup, search_paged, search_total, search_batch, search_sets,
         html_to_text, html_min_chars, content_hash_sha1, url_normalize, url_dedup, frontier_due, frontier_backoff, frontier_reschedule, docs_upsert, conditional_requests, change_detection, page_urls,
+        terms_tsv, zipf_tsv_curve, token_lines, token_meta, text_files, seed_lines, meta_last_line, search_saved, leading_ids,
     )
 }
 QUERIES |= {name: partial(_hits, query) for name, query in BOOLEAN.items()}
@@ -353,7 +422,11 @@ _CUT = "CASE WHEN strlen({w}) < 6 OR regexp_matches({w}, '[0-9]') OR NOT regexp_
 
 def _stem_sql(table: str) -> str:
     """SQL that adds ``stem`` to a table of ``term``: three cuts, one after the other."""
-    endings = "(иями|[аяыи]ми|[ое]го|[ое]му|[ыиая]х|[ое]в|[оеая]м|[ую]ю|[ая]я|[ое]е|[ыи]й|[ыи]е|[аяоеыиую])$"
+    # fixed values: the endings, the longest that fits is cut
+    endings = (
+        "(иями|ями|ами|ыми|ими|ого|его|ому|ему|ых|их|ах|ях|ов|ев|ом|ем|ам|ям|ую|юю|ая|яя|ое|ее|ый|ий|ые|ие"
+        "|а|я|о|е|ы|и|у|ю)$"
+    )
     one, two, three = (_CUT.format(w=w, rx=rx) for w, rx in (("term", "(ся|сь)$"), ("s1", endings), ("s2", "[ьъ]$")))
     return f"SELECT * EXCLUDE (s1, s2), {three} AS stem FROM (SELECT *, {two} AS s2 FROM (SELECT *, {one} AS s1 FROM ({table})))"
 
@@ -457,4 +530,16 @@ UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY norm_url)
     "change_detection": "SELECT key, seq, content_hash FROM (SELECT user_id AS key, event_id AS seq, sha1(event_type) AS content_hash, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, event_type FROM events) WHERE before IS DISTINCT FROM event_type",
     "page_urls": "SELECT page_id AS seq, 'https://ru.wikipedia.org/?curid=' || page_id AS url, 'ruwiki' AS source FROM pages WHERE page_id > 0 ORDER BY page_id LIMIT 100",
 }
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(doc_path, ''), lambda x: ord(x)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+ORACLES |= {
+    "terms_tsv": _COUNTS,
+    "zipf_tsv_curve": ORACLES["zipf_curve"],
+    "token_lines": _COUNTS,
+    "token_meta": f"SELECT doc_path, lpad(lower(hex({_FNV}::UBIGINT)), 16, '0') || '.tok' AS tok_file, tokens_count, token_chars, bytes_in FROM (SELECT *, printf('docs/%08d.txt', doc_id) AS doc_path FROM ({ORACLES['token_stats_per_doc']}))",
+    "text_files": "SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars FROM documents GROUP BY source",
+    "seed_lines": r"SELECT regexp_replace(url, '^\s+|\s+$', '', 'g') AS url FROM pages",
+    "meta_last_line": "SELECT doc_id + 1 AS local_id, doc_id AS page_id, 'doc-' || doc_id AS title FROM documents",
+    "search_saved": f"{_search_sql(MEANING['bool_nested'])} SELECT doc_id FROM h",
+    "leading_ids": r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(doc_id AS INT) END AS leading FROM documents",
+}
 ORACLES |= {name: f"{_search_sql(condition)} SELECT doc_id FROM h" for name, condition in MEANING.items()}

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fnv1a64_hex, leading_doc_id, valid_text
+from ..functions.text import fnv1a64_hex, leading_doc_id, strip, valid_text
 from ..operators.index import Index, document_offsets, postings_lists
 
 META = "doc_id long, page_id long, title string, source string, raw_file string, text_file string"
@@ -44,11 +46,16 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """(url) each line that isn't blank, trimmed."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
+    return spark.read.text(path).select(strip(F.col("value")).alias("url")).where("url <> ''")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(META).option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    """The columns of META and ``line``, which rises from line to line: the file's
+    name, then the place in it. A file is split by bytes, so the block and the
+    place in the block keep the order of lines without counting them all."""
+    rows = spark.read.schema(META).option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return rows.select(*rows.columns, place.alias("line"))
 
 
 def read_queries(spark: SparkSession, path: str) -> list[str]:
@@ -56,6 +63,27 @@ def read_queries(spark: SparkSession, path: str) -> list[str]:
     return [r["value"] for r in spark.read.text(path).collect()]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a local session that names none gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = f"file://{tempfile.mkdtemp(prefix='lexaloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Column ``term``, one per line, as .tok files; tokens have no character that needs quotes."""
+    tokens.select("term").write.mode("overwrite").option("extension", "tok").option("quote", "").csv(path)
+
+
+def write_token_meta(statistics: DataFrame, path: str) -> None:
+    """One line per document (doc_path, tokens_count, token_chars, bytes_in) with the name of its token file."""
+    write_tsv(statistics.select("doc_path", token_file_name(F.col("doc_path")).alias("tok_file"), "tokens_count", "token_chars", "bytes_in"), path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", "true").option("escape", '"').csv(path)
 

@@ -131,3 +131,42 @@ def test_seeds(spark):
 def test_change_log(spark):
     log = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("l", 1, None)], "key string, seq long, content_hash string")
     assert rows(crawl.change_log(log).where(F.lit(True)), "key", "seq") == [("k", 1), ("k", 3)]
+
+
+def test_last_meta_line_counts(spark, tmp_path):
+    from lexaloom.operators.index import combined
+    from lexaloom.sources.files import META, read_meta
+
+    head = "\t".join(f.split()[0] for f in META.split(", "))
+    (tmp_path / "meta.tsv").write_text(head + "\n1\t9\tz\tx\tr\tt\n2\t5\tb\tx\tr\tt\n1\t2\ta\truwiki\tr\tt\n")
+    meta = read_meta(spark, str(tmp_path / "meta.tsv"))
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "doc_id long, text string")
+    got = {r["local_id"]: (r["page_id"], r["title"], r["source_id"]) for r in combined([(docs, meta)]).collect()}
+    assert got == {1: (2, "a", 1), 2: (5, "b", 3)}
+
+
+def test_seeds_lose_all_white_space(spark, tmp_path):
+    from lexaloom.sources.files import read_seeds
+
+    (tmp_path / "seeds.txt").write_text("\thttps://a/\t\n\n \t \n  https://b/x y\x0b\n")
+    assert [r["url"] for r in read_seeds(spark, str(tmp_path / "seeds.txt")).collect()] == ["https://a/", "https://b/x y"]
+
+
+def test_new_urls_of_one_source_are_spread(spark):
+    """Ids follow the order of URLs, and no task orders all URLs of a host."""
+    from lexaloom.operators import crawl
+
+    schema = "url string, norm_url string, source string, html binary, fetched_at long, etag string, last_modified string, content_hash string"
+    urls = [f"https://ru.wikipedia.org/?curid={i * 37}" for i in range(300)] + ["https://a.org/", "https://a.org/x", "https://a.or/", "http://ru.wikipedia.org/?curid=1", "http:///", "odd", ""]
+    news = spark.createDataFrame([(u, u, "w", b"", 1, None, None, "h") for u in urls], schema)
+    got = crawl.upsert_docs(spark.createDataFrame([], crawl.DOCS), news).orderBy("id").collect()
+    assert [r["norm_url"] for r in got] == sorted(urls) and [r["id"] for r in got] == list(range(1, len(urls) + 1))
+
+
+def test_ranks_of_many_equal_counts(spark, monkeypatch):
+    from lexaloom.operators import terms
+
+    monkeypatch.setattr(terms, "RANKS_AT_ONCE", 4)
+    counts = [5, 5, 3] + [1] * 23
+    ranked = terms.rank_frequency(spark.createDataFrame([(f"t{i}", c) for i, c in enumerate(counts)], "term string, count long")).orderBy("rank").collect()
+    assert [(r["rank"], r["frequency"]) for r in ranked] == list(enumerate(sorted(counts, reverse=True), 1))
