@@ -17,6 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Written tables that still exist.
+_TABLES: set[str] = set()
+#: While a table is written: shuffle files are removed when the query that wrote them
+#: ends, not when the driver happens to collect its garbage; and a stage's code that
+#: would be too long for the JVM's compiler (8000 bytes of bytecode) isn't fused.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.codegen.hugeMethodLimit": "8000"}
 #: Bytes of text that a vectorised step holds at once; arrays over them are some dozens of times larger.
 CHUNK_BYTES = 2_000_000
 
@@ -44,12 +50,39 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns the table that was
-    written: cuts lineage, survives lost executors, keeps column pruning."""
+    written: cuts lineage, survives lost executors, keeps column pruning.
+
+    The write's shuffle files go as soon as it has ended; the table stays until
+    ``release`` or the end of the process."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {key: spark.conf.get(key, None) for key in _WRITING}
+    try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
+        df.write.options(**options).parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    _TABLES.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote. Nothing that still is to be computed may read them."""
+    for table in tables:
+        if table.written_to in _TABLES:
+            _TABLES.remove(table.written_to)
+            _remove(table.sparkSession, table.written_to)
+
+
+@atexit.register
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _TABLES if spark else ():
+        _remove(spark, path)
 
 
 #: The row_key column in the schema that an Arrow function returns.
@@ -69,6 +102,26 @@ def only_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     return docs.join(good, (key["k1"] == F.col("good_1")) & (key["k2"] == F.col("good_2")), "left_semi")
 
 
+#: Longs of 64 bits of a filter over keys that keeps other rows out of shuffles.
+FILTER_LONGS = 1 << 16
+_CELL = f"cast(shiftrightunsigned(xxhash64(k), 6) & {FILTER_LONGS - 1} as int)"
+_PLACE = "cast(xxhash64(k) & 63 as int)"
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """One row: a bitmap of the hashes of column ``k``, of fixed size."""
+    words = keys.select(F.expr(_CELL).alias("at"), F.expr(f"shiftleft(1L, {_PLACE})").alias("bit"))
+    filled = words.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = keys.sparkSession.range(FILTER_LONGS).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("cells")).select(F.transform("cells", lambda c: c["bits"]).alias("bits"))
+
+
+def maybe_in(table: DataFrame) -> Column:
+    """Whether column ``k`` may be one of the keys of a filter; never false for one of them."""
+    bits = table.select("bits").scalar()
+    return F.call_function("shiftrightunsigned", F.get(bits, F.expr(_CELL)), F.expr(_PLACE)).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for rows that no model may learn from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

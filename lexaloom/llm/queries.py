@@ -147,7 +147,7 @@ WITH l AS (
 t AS (SELECT doc_id, ln, body, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(body), '[	-
  ]+'), lambda w: w <> ''))) AS ws FROM l),
 first AS (
-  SELECT ws, len(ws) AS n, min((doc_id, ln)) AS pos FROM t WHERE len(ws) >= 5 GROUP BY ws),
+  SELECT ws, len(ws) AS n, min((doc_id, ln)) AS pos FROM t WHERE len(ws) >= 1 GROUP BY ws),
 -- any order of the words serves: here that of their digests
 p AS (
   SELECT pos, n, unnest(list_transform(list_sort(list_transform(ws, lambda w: md5(w) || w)), lambda w: w[33:])[:n - CAST(ceil(n * 80 / 100.0) AS INT) + 1]) AS w FROM first),
