@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import chunks, materialize, release
 
 #: Stored rate, and the ratio by which it is resampled.
 RATE, UP, DOWN = 24_000, 2, 3
@@ -99,9 +99,10 @@ _HANN = np.hanning(WINDOW).astype(np.float32)
 
 
 def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each overlapping window: the log energies of the mel bands, and its level in decibels."""
-    if len(x) < WINDOW:
-        x = np.concatenate((x, np.zeros(WINDOW - len(x), np.float32)))
+    """Of each overlapping window: the log energies of the mel bands, and its level in decibels.
+    Silence fills up the last window, so that every sample is in one."""
+    hops = max(0, -(-(len(x) - WINDOW) // HOP))
+    x = np.concatenate((x, np.zeros(WINDOW + hops * HOP - len(x), np.float32)))
     windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     bank = _mel_bank(rate)
     bands, level = [], []
@@ -145,16 +146,17 @@ def feature_text(tensor: np.ndarray, spans: np.ndarray) -> str:
 
 
 TENSOR = pa.fixed_shape_tensor(pa.float32(), [PARTS, BANDS], dim_names=["part", "band"])
-
-
-def as_tensors(mel: pa.Array) -> pa.ExtensionArray:
-    """A list column of features as an Arrow array of fixed-shape tensors."""
-    flat = mel.flatten().cast(pa.float32())
-    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, PARTS * BANDS))
+#: Bytes of recordings whose features are stored together.
+FILE_BYTES = 8_000_000
+#: What a stored file of features has for each recording, the tensors with their type and shape.
+STORED = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("mel", TENSOR), ("spans", pa.list_(pa.list_(pa.float64(), 2))),
+])
 
 
 _MEDIA = "doc_id long, n_bytes long, media binary"
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, mel array<float>, spans array<array<double>>"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mel array<float>, spans array<array<double>>, feature string"
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,8 +164,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in chunks(batch, "text"):
                 texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array([to_wave(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -171,31 +172,56 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialize(slim.mapInArrow(run, _MEDIA), "media", compression="zstd")
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """One row per stored recording, all from its stored bytes: sizes and digests,
-    the feature string, the flattened tensor ``mel`` and ``spans``."""
+def store_features(media: DataFrame) -> DataFrame:
+    """Files of features, one per row, in the cells of a written table: Arrow streams
+    of STORED, in which features are fixed-shape tensors beside their time spans.
+    All is computed from the recordings' stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in chunks(batch, "media", FILE_BYTES):
                 rows = []
-                for n_bytes, cell in zip(part.column("n_bytes").to_pylist(), part.column("media"), strict=True):
+                for cell in part.column("media"):
                     stored = cell.as_buffer().to_pybytes()
                     rate, payload = from_wave(stored)
                     tensor, spans = features(payload, rate)
-                    rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_text(tensor, spans), tensor.reshape(-1), spans.tolist()))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float32()), pa.list_(pa.list_(pa.float64())))
-                columns = [pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                names = [f.split()[0] for f in _FEATURES.split(", ")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), tensor, spans.tolist()))
+                *known, tensors, spans = zip(*rows, strict=True)
+                mel = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(tensors), dim_names=TENSOR.dim_names)
+                columns = [part.column("doc_id"), part.column("n_bytes"), *[pa.array(v, t) for v, t in zip(known, STORED.types[2:7], strict=True)], mel, pa.array(spans, STORED.types[8])]
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, STORED) as file:
+                    file.write_batch(pa.RecordBatch.from_arrays(columns, schema=STORED))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    return materialize(media.mapInArrow(run, "data binary"), "media-features", compression="zstd")
+
+
+def read_features(files: DataFrame) -> DataFrame:
+    """One row per recording of the stored files: sizes and digests, the tensor as
+    a list in row order (``mel``), ``spans``, and both as a string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column("data"):
+                for own in pa.ipc.open_stream(cell.as_buffer()):
+                    if own.schema != STORED:
+                        raise ValueError("not a file of features")
+                    tensors = own.column("mel").to_numpy_ndarray()
+                    spans = own.column("spans")
+                    texts = [feature_text(t, np.array(x, np.float64).reshape(-1, 2)) for t, x in zip(tensors, spans.to_pylist(), strict=True)]
+                    lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * (PARTS * BANDS), pa.array(tensors.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:7], lists, spans.cast(pa.list_(pa.list_(pa.float64()))), pa.array(texts, pa.string())], [*STORED.names, "feature"])
 
-    return media.mapInArrow(run, _FEATURES)
+    return files.mapInArrow(run, _FEATURES)
 
 
 def audio_features(docs: DataFrame, **columns) -> DataFrame:
-    """Stores every text of ``docs`` as a recording, reads it back and computes its
-    features: one row per row of ``docs``. Null and empty texts are one block of
-    padding; repeated rows are stored each; null ids are kept. Other columns of
-    ``docs`` are not looked at."""
-    return media_features(store_media(docs, **columns))
+    """Stores every text of ``docs`` as a recording, reads it back, stores its
+    features as fixed-shape tensors and reads these back: one row per row of
+    ``docs``. Null and empty texts are one block of padding; repeated rows are
+    stored each; null ids are kept; an empty table gives no rows. Other columns of ``docs`` are not looked at."""
+    media = store_media(docs, **columns)
+    files = store_features(media)
+    release(media)
+    return read_features(files)

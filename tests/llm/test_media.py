@@ -70,9 +70,36 @@ def test_hysteresis():
         assert media.segment(level).tolist() == slow(level)
 
 
+def plain_mel(y):
+    """The tensor by loops: windows with silence behind the last sample, a Fourier sum per window, triangles per band, means per part."""
+    rate = media.RATE * media.UP / media.DOWN
+    starts = [0]
+    while starts[-1] + media.WINDOW < len(y):
+        starts.append(starts[-1] + media.HOP)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(60), mel(rate / 2), media.BANDS + 2)]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.WINDOW) / (media.WINDOW - 1))
+    frames = []
+    for s in starts:
+        own = np.zeros(media.WINDOW)
+        own[: len(y[s : s + media.WINDOW])] = y[s : s + media.WINDOW]
+        power = np.abs(np.fft.rfft(own * hann, media.TRANSFORM)) ** 2
+        bands = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:]):
+            total = 0.0
+            for k, p in enumerate(power):
+                f = k * rate / media.TRANSFORM
+                if low < f < high:
+                    total += p * ((f - low) / (mid - low) if f <= mid else (high - f) / (high - mid))
+            bands.append(np.log(total + 1e-6))
+        frames.append(bands)
+    cuts = [k * len(frames) // media.PARTS for k in range(media.PARTS + 1)]
+    return np.array([np.mean(frames[a : max(b, a + 1)], axis=0) for a, b in zip(cuts, cuts[1:])])
+
+
 def test_features_of_recordings(spark):
     rows = [(1, "Grüße"), (2, None), (3, ""), (3, ""), (None, "x" * 576), (4, "long " * 40_000), (5, "Grüße")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
+    docs = spark.createDataFrame([(*r, "x", b"y") for r in rows], "doc_id long, text string, feature string, media binary")
     got = media.audio_features(docs).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
@@ -88,6 +115,14 @@ def test_features_of_recordings(spark):
     by_text = {}
     for r in got:
         assert by_text.setdefault(texts[r["doc_id"]] or "", r["feature"]) == r["feature"]
-    tensors = media.as_tensors(pa.array([r["mel"] for r in got], pa.list_(pa.float32())))
-    assert tensors.type == media.TENSOR and tensors.to_numpy_ndarray().shape == (len(rows), media.PARTS, media.BANDS)
+    files = media.store_features(media.store_media(docs)).collect()
+    stored = [batch for f in files for batch in pa.ipc.open_stream(f["data"])]
+    assert all(batch.schema.field("mel").type == media.TENSOR for batch in stored)
+    tensors = np.concatenate([batch.column("mel").to_numpy_ndarray() for batch in stored])
+    assert tensors.shape == (len(rows), media.PARTS, media.BANDS)
+    assert sorted(map(tuple, tensors.reshape(len(rows), -1).tolist())) == sorted(tuple(r["mel"]) for r in got)
+    for r in got:
+        y = media.resample((np.frombuffer(((texts[r["doc_id"]] or "").encode() + b"\xff" * (r["payload_bytes"] - r["n_bytes"])), np.uint8).astype(np.float32) - 128) / 128)
+        if len(y) < 20_000:
+            assert np.allclose(np.array(r["mel"]).reshape(media.PARTS, media.BANDS), plain_mel(y), atol=2e-3)
     assert media.audio_features(docs.limit(0)).collect() == []
