@@ -20,11 +20,9 @@ from .common import KEY_TYPE, held_out, row_key
 
 #: Hashed features; n-grams of 1 to GRAMS characters.
 DIMENSIONS, GRAMS = 1 << 14, 3
-#: At most about this many labelled documents of each language train the weights
-#: and the temperature. Frequencies are counted over all.
-SAMPLE_PER_LANGUAGE = 600
-#: Languages with fewer labelled rows than the SAMPLE_LANGUAGES most frequent aren't learnt.
-SAMPLE_LANGUAGES = 200
+#: At most about this many labelled documents of each language, and of all, train the weights
+#: and the temperature; of many languages each has the fewer. Frequencies are counted over all.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 6000
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.02
 EPOCHS = 3
@@ -41,13 +39,17 @@ def gram_counts(text: str, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np
     """Which hashed n-grams the whole lower-cased text has, ascending, and how often.
     White space of any length is one blank, and there is one at either end."""
     points = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    total = np.zeros(dimensions, np.int64)
     code = np.zeros(len(points), np.uint64)
+    hashed = []
     for n in range(min(GRAMS, len(points))):
         code = code[: len(points) - n] * np.uint64(_MIX[1]) + points[n:] * np.uint64(_MIX[0]) + np.uint64(n + 1)
         mixed = code ^ (code >> np.uint64(29))
-        mixed = (mixed * np.uint64(_MIX[2])) >> np.uint64(16)
-        total += np.bincount((mixed & np.uint64(dimensions - 1)).astype(np.int64), minlength=dimensions)
+        hashed.append(((mixed * np.uint64(_MIX[2])) >> np.uint64(16)) & np.uint64(dimensions - 1))
+    every = np.concatenate(hashed).astype(np.int64)
+    if len(every) < dimensions // 8:  # short texts are sorted, long ones counted in cells
+        at, total = np.unique(every, return_counts=True)
+        return at.astype(np.int32), total
+    total = np.bincount(every, minlength=dimensions)
     at = np.flatnonzero(total)
     return at.astype(np.int32), total[at]
 
@@ -138,12 +140,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            at, counts = gram_counts(text)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(k, 1), batch.column("doc_id").slice(k, 1), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["lang", "doc_id", "at", "counts"])
+        grams = [gram_counts(text) for text in batch.column("text").to_pylist()]
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(at) for at, _ in grams]))).astype(np.int32))
+        at, counts = (np.concatenate([np.zeros(0, t), *(g[k] for g in grams)]) for k, t in ((0, np.int32), (1, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(counts))], ["lang", "doc_id", "at", "counts"])
 
 
-def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from the text and lang of the rows of ``docs`` that are not held out.
 
     Which rows are in the bounded sample depends on a hash of their id alone.
@@ -155,13 +158,14 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mode
     seen[list(frequency)] = list(frequency.values())
     idf = np.log((1 + total) / (1 + seen)) + 1
 
-    by_language = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES).collect()
+    by_language = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     languages = tuple(sorted(lang for lang, _ in by_language))
     if not languages:
         return Model((), idf, np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0)
     spread = (F.xxhash64("doc_id") % 1_000_000 + 1_000_000) / 2_000_000
-    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in by_language for v in (lang, min(1.0, sample_per_language / n))]), F.col("lang"))
-    chosen = rows.where(F.col("lang").isin(*languages)).where(spread < share)
+    each = min(sample_per_language, max(1, sample_rows // len(languages)))
+    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in by_language for v in (lang, min(1.0, each / n))]), F.col("lang"))
+    chosen = rows.where(spread < share)
     sample = chosen.mapInArrow(_sparse, "lang string, doc_id long, at array<int>, counts array<long>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     ready = []
     for lang, at, counts in zip(sample["lang"].to_pylist(), sample["at"], sample["counts"], strict=True):
@@ -178,13 +182,14 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1); ``keyed``: and key, the row_key.
 
     ``und`` with score 0: null text, text without a letter, and every text where
-    nothing could be learnt. Ties go to the alphabetically first language.
-    Repeated rows are predicted each; a null id is kept and may be learnt from."""
+    nothing could be learnt. Ties go to the alphabetically first language. Every language
+    of the rows that may be learnt from is learnt. Repeated rows are predicted each; a null id is
+    kept and may be learnt from; an empty table gives no rows. Other columns are not looked at."""
     extra = ["key"] if keyed else []
     key = [row_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), *key)
     model = fit(slim)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS by SAMPLE_LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
