@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import key_filter, maybe_in
+
 #: Seconds of a slice of time. Rule and slice together are the join key, so a
 #: rule with a long history or very many captures is spread over many tasks.
 SLICE = 90 * 86_400
@@ -45,9 +47,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at", slice_seconds: int = SLICE) -> DataFrame:
     """One row per row of ``captures``: id, url, host, fetched_at, rule (that decided), active_since, n_active (matching active rules), kept.
 
-    A rule matches its domain and all below. Captures without a matching active
-    rule, with a null or hostless URL or with a null time are kept. Repeated
-    captures are judged once and returned each. Distinct (host, time) pairs are
+    A rule matches its domain and all below, of any number of labels. Captures without a matching active
+    rule, with a null or hostless URL or with a null time are kept; so are all if
+    the list is empty, and no captures give no rows. Repeated captures are judged once and returned each. Null ids are kept;
+    other columns are not looked at. Distinct (host, time) pairs are
     joined, not captures, so that popular hosts weigh no more than others."""
     seconds = lambda c: F.unix_seconds(c)
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(at_col).cast("timestamp").alias("fetched_at"))
@@ -56,6 +59,9 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     # no rule of the list has more labels, so longer parents of a host would meet nothing
     most = active.agg(F.max(F.size(F.split("rule", r"\."))).alias("labels")).first()["labels"] or 1
     probes = moments.select("host", "fetched_at", F.explode(suffixes(F.col("host"), most)).alias("rule"), F.floor(seconds(F.col("fetched_at")) / slice_seconds).alias("slice"))
+    # parent domains that no rule names, such as top-level ones, stay out of the shuffle but for a few that a bitmap lets through
+    listed = key_filter(active.select(F.col("rule").alias("k")).distinct())
+    probes = probes.withColumnRenamed("rule", "k").where(maybe_in(listed)).withColumnRenamed("k", "rule")
 
     span = moments.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high")).first()
     if span["low"] is None:
