@@ -1,28 +1,30 @@
 """Packing into optimal length buckets.
 
-Documents are cut into pieces of at most ``longest`` tokens. A dynamic program
-over the histogram of all lengths chooses the bucket boundaries that need the
-least padding; inside a bucket, consecutive pieces form batches of as many rows
-as the token budget holds at the bucket's length.
+Documents become token ids and are cut into pieces of at most ``longest``
+tokens. A dynamic program over the histogram of all lengths chooses the bucket
+boundaries that need the least padding; inside a bucket, consecutive pieces form
+batches of as many rows as the token budget holds at the bucket's length.
+Batches are written with their ids and padding and read back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, range_split, shuffle_partitions
+from .common import chunks, materialize, range_split, release, shuffle_partitions
+from .token_files import load
 
 #: Longest piece, number of buckets and padded tokens of a batch.
 LONGEST, BUCKETS, BUDGET = 2048, 12, 65_536
-
-
-def word_tokens(text: Column) -> Column:
-    """Words of ASCII white space between them, and one for the end of the document."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
+#: Ids at the end of a document, and in places of a batch that no piece fills.
+END_ID, PAD_ID = 1, 0
+_IDS = np.dtype("<u4")
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -60,11 +62,72 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
-def pack(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, tokens: Callable[[Column], Column] = word_tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece (from 0), start, length, bucket (from 0),
-    bucket_length, batch (from 0 inside the bucket), place (row of the batch).
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, tie, n, ids) of documents (doc_id, text): the number of ids of each, with one for its end, and the ids as bytes. Written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = load(vocabulary)
+        for batch in batches:
+            for part in chunks(batch, "text", 4_000_000):
+                ids, counts = coder.encode(part.column("text"))
+                whole = np.full(len(ids) + len(counts), end_id, _IDS)
+                whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                ends = np.cumsum(counts + 1)
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int64)), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(counts + 1), cells.cast(pa.binary())], ["doc_id", "tie", "n", "ids"])
+
+    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, ids binary"), "packing-ids", compression="zstd")
+
+
+def _batches(pad_id: int):
+    """Pieces, those of a batch together and in order of their places -> one row per batch: its ids, padded, as bytes, and what the places hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def close() -> pa.RecordBatch:
+            first = held[0]
+            cells = np.full((len(held), first["bucket_length"]), pad_id, _IDS)
+            for row, piece in zip(cells, held, strict=True):
+                row[: piece["length"]] = np.frombuffer(piece["ids"], _IDS)
+            known = {k: [[p[k] for p in held]] for k in ("doc_id", "piece", "start", "length")}
+            kinds = {"doc_id": pa.list_(pa.int64()), "piece": pa.list_(pa.int64()), "start": pa.list_(pa.int64()), "length": pa.list_(pa.int64())}
+            held.clear()
+            columns = [pa.array([first["bucket"]], pa.int32()), pa.array([first["bucket_length"]], pa.int64()), pa.array([first["batch"]], pa.int64()), *[pa.array(known[k], kinds[k]) for k in known], pa.array([cells.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "bucket_length", "batch", *known, "ids"])
+
+        for batch in batches:
+            for piece in batch.to_pylist():
+                if held and (held[0]["bucket"], held[0]["batch"]) != (piece["bucket"], piece["batch"]):
+                    yield close()
+                held.append(piece)
+        if held:
+            yield close()
+
+    return run
+
+
+_BATCHES = "bucket int, bucket_length long, batch long, doc_id array<long>, piece array<long>, start array<long>, length array<long>, ids binary"
+_PLACES = "doc_id long, piece long, start long, length long, bucket int, bucket_length long, batch long, place int, ids_crc32 long"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Written batches -> a row per place, all from the batch: the digest is that of its unpadded ids."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            n, width = len(row["length"]), row["bucket_length"]
+            raw = memoryview(row["ids"])
+            sums = [zlib.crc32(raw[4 * width * k : 4 * (width * k + size)]) for k, size in enumerate(row["length"])]
+            same = {k: pa.array([row[k]] * n, t) for k, t in (("bucket", pa.int32()), ("bucket_length", pa.int64()), ("batch", pa.int64()))}
+            own = {k: pa.array(row[k], pa.int64()) for k in ("doc_id", "piece", "start", "length")}
+            yield pa.RecordBatch.from_arrays([*own.values(), *same.values(), pa.array(range(n), pa.int32()), pa.array(sums, pa.int64())], [*own, *same, "place", "ids_crc32"])
+
+
+def write_batches(docs: DataFrame, vocabulary: str, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, end_id: int = END_ID, pad_id: int = PAD_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written batches: bucket (from 0), bucket_length, batch (from 0 inside the
+    bucket), lists of doc_id, piece, start and length of its places, and ids: a
+    row of bucket_length little-endian 32-bit ids for each place, padded with ``pad_id``.
 
-    tokens: the number of tokens of a text, at least 1; by default its words and an end.
     Every token of every document is in exactly one piece. Batches hold
     budget // bucket_length rows (at least one); only the last of a bucket may hold fewer. Pieces are taken by
     ascending document id, then piece; repeated rows one after the other, by text; null ids first.
@@ -72,23 +135,43 @@ def pack(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget
     Ranks inside a bucket come from counts per range of documents, so that no
     task sees a whole bucket; only the histogram (``longest`` rows at most) comes to the driver."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sized = slim.select("doc_id", tokens(F.col("text")).cast("long").alias("n"), F.xxhash64("text").alias("tie"))
-    sized = materialize(sized, "packing-sizes")
-    pieces = sized.select("doc_id", "tie", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
-    pieces = pieces.select("doc_id", "tie", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("long").alias("length"))
-    histogram = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
+    coded = tokenized(slim, vocabulary, end_id)
+    lengths = coded.select("n").groupBy("n").agg(F.count("*").alias("docs"))
+    # of n tokens: n // longest whole pieces and a rest
+    parts = lengths.select(F.explode(F.array(F.struct(F.lit(longest).cast("long").alias("length"), (F.col("docs") * F.floor(F.col("n") / longest)).alias("rows")), F.struct((F.col("n") % longest).alias("length"), F.col("docs").alias("rows")))).alias("p")).select("p.*")
+    histogram = parts.where("length > 0 and rows > 0").groupBy("length").agg(F.sum("rows").alias("n")).collect()
     ends = optimal_boundaries(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
     if not ends:
         ends = [longest]
     table = F.array(*[F.lit(e).cast("long") for e in ends])
-    bucket = F.size(F.filter(table, lambda e: e < F.col("length")))
-    placed = pieces.withColumn("bucket", bucket).withColumn("bucket_length", F.get(table, F.col("bucket")))
-    placed = placed.withColumn("part", range_split(sized, "doc_id", shuffle_partitions(docs.sparkSession)))
 
-    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    def pieces(*more: str) -> DataFrame:
+        every = coded.select("doc_id", "tie", "n", *more, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
+        sized = every.select("doc_id", "tie", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("long").alias("length"), *more)
+        bucket = F.size(F.filter(table, lambda e: e < F.col("length")))
+        placed = sized.withColumn("bucket", bucket).withColumn("bucket_length", F.get(table, F.col("bucket")))
+        return placed.withColumn("part", split)
+
+    split = range_split(coded, "doc_id", shuffle_partitions(docs.sparkSession))
+    counts = pieces().groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("bucket", "part").orderBy("doc_id", "tie", "piece")
-    ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["bucket", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    cut = F.substring(F.col("ids"), (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    ranked = pieces("ids").withColumn("ids", cut).withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["bucket", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length")))
-    return ranked.select("doc_id", "piece", "start", "length", "bucket", "bucket_length", F.floor(F.col("rank") / rows).alias("batch"), (F.col("rank") % rows).cast("int").alias("place"))
+    placed = ranked.select("doc_id", "piece", "start", "length", "bucket", "bucket_length", F.floor(F.col("rank") / rows).alias("batch"), (F.col("rank") % rows).cast("int").alias("place"), "ids")
+    dealt = placed.repartition(shuffle_partitions(docs.sparkSession), "bucket", "batch").sortWithinPartitions("bucket", "batch", "place")
+    out = materialize(dealt.mapInArrow(_batches(pad_id), _BATCHES), "packing-batches", compression="zstd")
+    release(coded)
+    return out
+
+
+def pack(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
+    """One row per piece, read back from the written batches: doc_id, piece (from 0), start, length, bucket (from 0),
+    bucket_length, batch (from 0 inside the bucket), place (row of the batch), ids_crc32 (of the piece's ids as little-endian 32-bit numbers).
+
+    vocabulary: path of a tokenizer file whose splitting drops white space, present on every executor; other options as of write_batches.
+    Null and empty texts have the end id alone; repeated rows are packed each;
+    null ids are kept, and come first; an empty table gives no rows. Other columns of ``docs`` are not looked at."""
+    return write_batches(docs, vocabulary, **options).mapInArrow(_read, _PLACES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, editprints, langid, linededup, media, minhash, packing, quality, token_files, urlfilter
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Where the public vocabulary files are installed."""
     import public_tokenizers
 
@@ -54,11 +54,11 @@ def op3_editprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.token_file_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

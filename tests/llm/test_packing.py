@@ -2,10 +2,21 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import zlib
+
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 from lexaloom.llm import packing
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+CODER = Tokenizer.from_file(WORDS)
+
+
+def ids_of(text):
+    return [*CODER.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+
 
 def padding(histogram, ends):
     return sum(n * (min(e for e in ends if e >= length) - length) for length, n in histogram.items())
@@ -26,16 +37,16 @@ def test_boundaries_are_optimal():
 def test_every_token_once_and_full_batches(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 5, 30, 31, 99, 100, 250])), "x") for i in rnd.sample(range(1000), 300)]
-    rows += [(2000, None, "x"), (None, "a b", "x"), (2001, "q " * 5000, "x"), (2002, "same", "x"), (2002, "same", "x")]
+    rows += [(2000, None, "x"), (None, "a b", "x"), (None, "a c", "x"), (2003, "", "x"), (2004, "Don't stop, naïve ÉTÉ 2x", "x"), (2001, "q " * 5000, "x"), (2002, "same", "x"), (2002, "same", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, batch string")
-    got = packing.pack(docs, longest=100, buckets=4, budget=500).collect()
+    got = packing.pack(docs, WORDS, longest=100, buckets=4, budget=500).collect()
     covered = defaultdict(list)
     for r in got:
-        covered[r["doc_id"]].append((r["start"], r["length"], r["piece"]))
+        covered[r["doc_id"]].append((r["start"], r["length"], r["piece"], r["ids_crc32"]))
         assert 1 <= r["length"] <= r["bucket_length"]
     for i in {i for i, *_ in rows}:
-        sizes = [len((t or "").split()) + 1 for k, t, _ in rows if k == i]
-        want = sorted((s, min(100, n - s), s // 100) for n in sizes for s in range(0, n, 100))
+        every = [ids_of(t) for k, t, _ in rows if k == i]
+        want = sorted((s, len(own[s : s + 100]), s // 100, zlib.crc32(np.array(own[s : s + 100], "<u4").tobytes())) for own in every for s in range(0, len(own), 100))
         assert sorted(covered[i]) == want
     ends = packing.optimal_boundaries(*map(np.array, zip(*Counter(r["length"] for r in got).items(), strict=True)), 4)
     assert {r["bucket_length"] for r in got} == set(ends)
@@ -54,5 +65,14 @@ def test_every_token_once_and_full_batches(spark):
         assert seq == sorted(seq)
 
 
+def test_batches_are_padded(spark):
+    rows = [(i, "w " * n) for i, n in enumerate((3, 1, 9, 2, 7))]
+    written = packing.write_batches(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, longest=8, buckets=2, budget=16).collect()
+    for r in written:
+        cells = np.frombuffer(r["ids"], "<u4").reshape(len(r["doc_id"]), r["bucket_length"])
+        for row, i, start, length in zip(cells, r["doc_id"], r["start"], r["length"], strict=True):
+            assert row[:length].tolist() == ids_of(rows[i][1])[start : start + length] and (row[length:] == packing.PAD_ID).all()
+
+
 def test_empty(spark):
-    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexaloom.llm import langid, minhash, packing, quality
-from lexaloom.llm.queries import ORACLES, QUERIES
+from lexaloom.llm.queries import ORACLES, QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_decisions_take_effect(spark, stages):
     assert ids(stages["lines"]) == ids(stages["language"])
     assert stages["lines"].where("n_chars <> length(text)").count() == 0
     assert ids(stages["near_duplicates"]) == ids(minhash.near_duplicates(stages["lines"]).where("kept"))
-    assert sorted(map(tuple, stages["packing"].collect())) == sorted(map(tuple, packing.pack(stages["near_duplicates"]).collect()))
+    assert sorted(map(tuple, stages["packing"].collect())) == sorted(map(tuple, packing.pack(stages["near_duplicates"], vocabulary("word_bpe_49k.json")).collect()))
 
 
 def test_line_stage_against_brute_force(stages):
