@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.llm import langid, linededup, minhash, packing, quality
 from lexaloom.llm.common import materialize, only_rows
+from lexaloom.llm.queries import vocabulary
 
 #: Documents whose likeliest language has a lower probability than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -44,8 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in length-bucketed batches."""
-    return packing.pack(docs)
+    """The place of every piece of every document in length-bucketed batches of token ids, which are written and read back."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
