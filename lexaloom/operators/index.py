@@ -93,9 +93,10 @@ class Index:
     docs: DataFrame
 
     def save(self, path: str) -> None:
-        """Postings sorted by term, so that row groups of other terms are skipped."""
+        """Postings sorted by term, so that row groups of other terms are skipped. Texts are read once: the dictionary is made from the written postings."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
+        written = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        dictionary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 

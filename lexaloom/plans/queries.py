@@ -47,6 +47,26 @@ def _index(spark: SparkSession, sf_dir: str, several: bool = False) -> index.Ind
     return index.build_index(_inputs(spark, sf_dir, several))
 
 
+#: Where the index of a table was saved by this session.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index that all searches use; the first of them builds it, if ``index_saved`` did not."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        path = files.scratch(spark, "index")
+        _index(spark, sf_dir).save(path)
+        _SAVED[key] = path
+    return index.load_index(spark, _SAVED[key])
+
+
+def index_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds and saves the index anew; its dictionary, read back."""
+    _SAVED.pop((spark.sparkContext.applicationId, sf_dir), None)
+    return _saved_index(spark, sf_dir).dictionary
+
+
 # --- tokens and corpus -------------------------------------------------------
 
 
@@ -216,23 +236,23 @@ BATCH = ("the && with", "   ", "", "!the", "the, with", "nosuchterm")
 
 
 def _hits(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean.hits(_index(spark, sf_dir), query)
+    return boolean.hits(_saved_index(spark, sf_dir), query)
 
 
 def search_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean.search(_index(spark, sf_dir), "the && !und", offset=20, limit=50)
+    return boolean.search(_saved_index(spark, sf_dir), "the && !und", offset=20, limit=50)
 
 
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean.total(boolean.hits(_index(spark, sf_dir), "of || (with !the)"))
+    return boolean.total(boolean.hits(_saved_index(spark, sf_dir), "of || (with !the)"))
 
 
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean.search_many(_index(spark, sf_dir), BATCH, limit=10)
+    return boolean.search_many(_saved_index(spark, sf_dir), BATCH, limit=10)
 
 
 def search_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean.hits_by_sets(_index(spark, sf_dir), BOOLEAN["bool_nested"])
+    return boolean.hits_by_sets(_saved_index(spark, sf_dir), BOOLEAN["bool_nested"])
 
 
 # --- crawl -------------------------------------------------------------------
@@ -408,7 +428,7 @@ QUERIES = {
         term_frequency, term_frequency_stemmed, term_totals, top_terms, zipf_rank, zipf_curve, mandelbrot_candidates, mandelbrot_best,
         postings_long, postings_array, dictionary_df, index_docs, doc_offsets, index_stats, source_lookup, search_paged, search_total, search_batch, search_sets,
         html_to_text, html_min_chars, content_hash_sha1, url_normalize, url_dedup, frontier_due, frontier_backoff, frontier_reschedule, docs_upsert, conditional_requests, change_detection, page_urls,
-        terms_tsv, zipf_tsv_curve, token_lines, token_meta, text_files, seed_lines, meta_last_line, search_saved, leading_ids,
+        terms_tsv, zipf_tsv_curve, token_lines, token_meta, text_files, seed_lines, meta_last_line, index_saved, search_saved, leading_ids,
     )
 }
 QUERIES |= {name: partial(_hits, query) for name, query in BOOLEAN.items()}
@@ -533,6 +553,7 @@ UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY norm_url)
 _FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(doc_path, ''), lambda x: ord(x)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
 ORACLES |= {
     "terms_tsv": _COUNTS,
+    "index_saved": ORACLES["dictionary_df"],
     "zipf_tsv_curve": ORACLES["zipf_curve"],
     "token_lines": _COUNTS,
     "token_meta": f"SELECT doc_path, lpad(lower(hex({_FNV}::UBIGINT)), 16, '0') || '.tok' AS tok_file, tokens_count, token_chars, bytes_in FROM (SELECT *, printf('docs/%08d.txt', doc_id) AS doc_path FROM ({ORACLES['token_stats_per_doc']}))",
