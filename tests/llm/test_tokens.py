@@ -102,4 +102,17 @@ def test_token_files(spark, monkeypatch):
     assert ordered == sorted(i for i, _ in rows)
     assert token_files.token_file_digests(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
     twice = token_files.token_file_digests(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string"), WORDS).collect()
-    assert sorted((r["doc_id"], r["start"]) for r in twice) == [(-1, 0), (1, 2), (1, 4)]
+    assert [(r["doc_id"], r["start"]) for r in sorted(twice, key=lambda r: r["start"])] == [(None, 0), (1, 2), (1, 4)]
+    mixed = spark.createDataFrame([(-1, "a b", "x"), (0, "c", "y"), (None, "a b", "z"), (None, None, "z")], "doc_id long, text string, start string")
+    got = token_files.token_file_digests(mixed, WORDS).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 1), (None, 1, 3), (-1, 4, 3), (0, 7, 2)]
+
+
+def test_round_trip_beside_clashing_columns(spark):
+    rows = [(1, "a  b", 7, b"x"), (1, "a  b", 8, b"y"), (None, None, 9, None), (2, "z" * 60_000, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids_sha256 binary")
+    got = bpe.round_trip(docs, BYTES).collect()
+    coder = library(BYTES)
+    want = [(i, len(coder.encode(t or "", add_special_tokens=False).ids), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows]
+    assert sorted(((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got), key=str) == sorted(want, key=str)
+    assert bpe.round_trip(docs.limit(0), BYTES).collect() == []
