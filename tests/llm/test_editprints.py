@@ -131,3 +131,10 @@ def test_near_duplicates_against_all_pairs(spark):
                 group = [low if g == high else g for g in group]
     got = E.edit_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["component_id"] for r in sorted(got)] == group
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "first text", "f", 1.0), (2, "second text", "g", 2.0), (3, None, "h", 3.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, near_next double")
+    plain = sorted(map(tuple, E.fingerprint_edits(docs.select("doc_id", "text")).collect()))
+    assert sorted(map(tuple, E.fingerprint_edits(docs).collect())) == plain and len(plain) == 3
