@@ -202,7 +202,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids
     joined by commas) and decoded_sha256 (of the text decoded from the ids).
 
-    vocabulary: path of a byte-level BPE file, present on every executor. Null and empty texts have no ids; repeated rows and null ids
+    vocabulary: path of a byte-level BPE file, present on every executor. Null and empty texts have no ids; an empty table gives no rows; repeated rows and null ids
     are kept. Columns of ``docs`` other than the two named are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -230,7 +230,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Null texts count as empty, and empty ones are scored like any other. Repeated
     rows are scored each. Without labels of both classes the score is constant
-    (0.5 without any). A null id is kept. Columns of ``docs`` other than the two named are not looked at."""
+    (0.5 without any). A null id is kept; an empty table gives no rows. Columns of ``docs`` other than the two named are not looked at."""
     extra = ["key"] if keyed else []
     key = [row_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
     table = materialize(statistics_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)), "quality-statistics")
