@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, range_split, release, shuffle_partitions
+from .common import chunks, materialize, ragged, range_split, release, shuffle_partitions
 from .token_files import load
 
 #: Longest piece, number of buckets and padded tokens of a batch.
@@ -62,25 +62,45 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, tie, n, ids) of documents (doc_id, text): the number of ids of each, with one for its end, and the ids as bytes. Written once."""
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID, longest: int = LONGEST) -> DataFrame:
+    """(doc_id, tie, piece, start, length, ids), the pieces of documents (doc_id, text) with an id for each document's end. Written once.
+
+    The ids are bytes, two for each id if the vocabulary allows it, else four: they are the bulk of what is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(vocabulary)
+        kind = np.dtype("<u2") if max(end_id, *coder.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else _IDS
         for batch in batches:
             for part in chunks(batch, "text", 4_000_000):
                 ids, counts = coder.encode(part.column("text"))
-                whole = np.full(len(ids) + len(counts), end_id, _IDS)
+                whole = np.full(len(ids) + len(counts), end_id, kind)
                 whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-                ends = np.cumsum(counts + 1)
-                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int64)), pa.py_buffer(whole)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(counts + 1), cells.cast(pa.binary())], ["doc_id", "tie", "n", "ids"])
+                sizes = counts + 1
+                each = -(-sizes // longest)
+                owner = np.repeat(np.arange(len(sizes)), each)
+                piece = ragged(np.zeros(len(each), np.int64), each)
+                start = piece * longest
+                length = np.minimum(longest, sizes[owner] - start)
+                ends = np.concatenate(([0], kind.itemsize * np.cumsum(length))).astype(np.int64)
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+                known = [part.column(c).take(pa.array(owner)) for c in ("doc_id", "tie")]
+                yield pa.RecordBatch.from_arrays([*known, pa.array(piece), pa.array(start), pa.array(length), cells.cast(pa.binary())], ["doc_id", "tie", "piece", "start", "length", "ids"])
+
+    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, piece long, start long, length long, ids binary"), "packing-ids", compression="zstd")
+
 
-    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, ids binary"), "packing-ids", compression="zstd")
+_LISTS = ("doc_id", "piece", "start", "length")
 
 
-def _batches(pad_id: int):
-    """Pieces, those of a batch together and in order of their places -> one row per batch: its ids, padded, as bytes, and what the places hold."""
+def _row(bucket: int, bucket_length: int, batch: int, place: int, lists: dict[str, list], ids: bytes, whole: bool) -> pa.RecordBatch:
+    own = [pa.array([bucket], pa.int32()), pa.array([bucket_length], pa.int64()), pa.array([batch], pa.int64()), pa.array([place], pa.int32())]
+    own += [pa.array([lists[k]], pa.list_(pa.int64())) for k in _LISTS]
+    return pa.RecordBatch.from_arrays([*own, *[pa.array([ids if whole == kept else None], pa.binary()) for kept in (True, False)]], ["bucket", "bucket_length", "batch", "place", *_LISTS, "ids", "some_ids"])
+
+
+def _batches(pad_id: int, budget: int):
+    """Ranked pieces -> one row per batch whose places come one after the other, with
+    its padded ids as bytes; of other batches one row per run of places, its ids in another column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -89,16 +109,15 @@ def _batches(pad_id: int):
             first = held[0]
             cells = np.full((len(held), first["bucket_length"]), pad_id, _IDS)
             for row, piece in zip(cells, held, strict=True):
-                row[: piece["length"]] = np.frombuffer(piece["ids"], _IDS)
-            known = {k: [[p[k] for p in held]] for k in ("doc_id", "piece", "start", "length")}
-            kinds = {"doc_id": pa.list_(pa.int64()), "piece": pa.list_(pa.int64()), "start": pa.list_(pa.int64()), "length": pa.list_(pa.int64())}
+                row[: piece["length"]] = np.frombuffer(piece["ids"], f"<u{len(piece['ids']) // piece['length']}")
+            lists = {k: [p[k] for p in held] for k in _LISTS}
+            whole = len(held) == max(1, budget // first["bucket_length"])
             held.clear()
-            columns = [pa.array([first["bucket"]], pa.int32()), pa.array([first["bucket_length"]], pa.int64()), pa.array([first["batch"]], pa.int64()), *[pa.array(known[k], kinds[k]) for k in known], pa.array([cells.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "bucket_length", "batch", *known, "ids"])
+            return _row(first["bucket"], first["bucket_length"], first["batch"], first["place"], lists, cells.tobytes(), whole)
 
         for batch in batches:
             for piece in batch.to_pylist():
-                if held and (held[0]["bucket"], held[0]["batch"]) != (piece["bucket"], piece["batch"]):
+                if held and (held[0]["bucket"], held[0]["batch"], held[0]["place"] + len(held)) != (piece["bucket"], piece["batch"], piece["place"]):
                     yield close()
                 held.append(piece)
         if held:
@@ -107,7 +126,27 @@ def _batches(pad_id: int):
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of places, those of a batch together and in order -> one row per batch."""
+    held: list[dict] = []
+
+    def close() -> pa.RecordBatch:
+        first = held[0]
+        row = _row(first["bucket"], first["bucket_length"], first["batch"], first["place"], {k: [x for p in held for x in p[k]] for k in _LISTS}, b"".join(p["some_ids"] for p in held), True)
+        held.clear()
+        return row.drop_columns(["place", "some_ids"])
+
+    for batch in batches:
+        for part in batch.to_pylist():
+            if held and (held[0]["bucket"], held[0]["batch"]) != (part["bucket"], part["batch"]):
+                yield close()
+            held.append(part)
+    if held:
+        yield close()
+
+
 _BATCHES = "bucket int, bucket_length long, batch long, doc_id array<long>, piece array<long>, start array<long>, length array<long>, ids binary"
+_PARTS = _BATCHES.replace("batch long,", "batch long, place int,") + ", some_ids binary"
 _PLACES = "doc_id long, piece long, start long, length long, bucket int, bucket_length long, batch long, place int, ids_crc32 long"
 
 
@@ -133,38 +172,32 @@ def write_batches(docs: DataFrame, vocabulary: str, longest: int = LONGEST, buck
     ascending document id, then piece; repeated rows one after the other, by text; null ids first.
 
     Ranks inside a bucket come from counts per range of documents, so that no
-    task sees a whole bucket; only the histogram (``longest`` rows at most) comes to the driver."""
+    task sees a whole bucket; only the histogram (``longest`` rows at most) comes to the driver.
+    Ids are shuffled once, to their range and bucket; only batches that ranges share are put together by another shuffle."""
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = tokenized(slim, vocabulary, end_id)
-    lengths = coded.select("n").groupBy("n").agg(F.count("*").alias("docs"))
-    # of n tokens: n // longest whole pieces and a rest
-    parts = lengths.select(F.explode(F.array(F.struct(F.lit(longest).cast("long").alias("length"), (F.col("docs") * F.floor(F.col("n") / longest)).alias("rows")), F.struct((F.col("n") % longest).alias("length"), F.col("docs").alias("rows")))).alias("p")).select("p.*")
-    histogram = parts.where("length > 0 and rows > 0").groupBy("length").agg(F.sum("rows").alias("n")).collect()
+    coded = tokenized(slim, vocabulary, end_id, longest)
+    histogram = coded.groupBy("length").agg(F.count("*").alias("n")).collect()
     ends = optimal_boundaries(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
     if not ends:
         ends = [longest]
     table = F.array(*[F.lit(e).cast("long") for e in ends])
+    bucket = F.size(F.filter(table, lambda e: e < F.col("length")))
+    pieces = coded.withColumn("bucket", bucket).withColumn("part", range_split(coded, "doc_id", shuffle_partitions(spark)))
 
-    def pieces(*more: str) -> DataFrame:
-        every = coded.select("doc_id", "tie", "n", *more, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
-        sized = every.select("doc_id", "tie", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("long").alias("length"), *more)
-        bucket = F.size(F.filter(table, lambda e: e < F.col("length")))
-        placed = sized.withColumn("bucket", bucket).withColumn("bucket_length", F.get(table, F.col("bucket")))
-        return placed.withColumn("part", split)
-
-    split = range_split(coded, "doc_id", shuffle_partitions(docs.sparkSession))
-    counts = pieces().groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    counts = pieces.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("bucket", "part").orderBy("doc_id", "tie", "piece")
-    cut = F.substring(F.col("ids"), (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
-    ranked = pieces("ids").withColumn("ids", cut).withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["bucket", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = pieces.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["bucket", "part"]).withColumn("rank", F.col("rank") + F.col("base")).withColumn("bucket_length", F.get(table, F.col("bucket")))
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length")))
-    placed = ranked.select("doc_id", "piece", "start", "length", "bucket", "bucket_length", F.floor(F.col("rank") / rows).alias("batch"), (F.col("rank") % rows).cast("int").alias("place"), "ids")
-    dealt = placed.repartition(shuffle_partitions(docs.sparkSession), "bucket", "batch").sortWithinPartitions("bucket", "batch", "place")
-    out = materialize(dealt.mapInArrow(_batches(pad_id), _BATCHES), "packing-batches", compression="zstd")
+    placed = ranked.select(*_LISTS, "bucket", "bucket_length", F.floor(F.col("rank") / rows).alias("batch"), (F.col("rank") % rows).cast("int").alias("place"), "ids")
+    parts = materialize(placed.mapInArrow(_batches(pad_id, budget), _PARTS), "packing-batches", compression="zstd")
     release(coded)
-    return out
+    shared = parts.where("some_ids is not null").select("bucket", "bucket_length", "batch", "place", *_LISTS, "some_ids")
+    dealt = shared.repartition(shuffle_partitions(spark), "bucket", "batch").sortWithinPartitions("bucket", "batch", "place")
+    rest = materialize(dealt.mapInArrow(_joined, _BATCHES), "packing-shared-batches", compression="zstd")
+    return parts.where("ids is not null").select(*rest.columns).union(rest)
 
 
 def pack(docs: DataFrame, vocabulary: str, **options) -> DataFrame:

@@ -76,3 +76,31 @@ def test_batches_are_padded(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
+
+
+def test_ids_are_shuffled_once(spark, monkeypatch):
+    """Whole batches are written where their pieces were ranked, from two bytes an id; only batches that ranges share are put together from parts."""
+    written = {}
+
+    def seen(df, name, **options):
+        written[name] = materialize(df, name, **options)
+        return written[name]
+
+    materialize = packing.materialize
+    monkeypatch.setattr(packing, "materialize", seen)
+    monkeypatch.setattr(packing, "release", lambda *tables: None)
+    rows = [(i, "word " * (i % 40)) for i in range(2000)]
+    got = packing.write_batches(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, longest=16, buckets=3, budget=64).collect()
+    assert written["packing-ids"].where("length(ids) <> 2 * length").count() == 0
+    once, parts = (written["packing-batches"].where(f"{c} is not null") for c in ("ids", "some_ids"))
+    assert once.count() > 0.8 * len(got) and parts.count() <= 2 * 3 * 4 + 3  # two of each bucket and range
+    assert once.count() + parts.select("bucket", "batch").distinct().count() == len(got) == len({(r["bucket"], r["batch"]) for r in got})
+
+
+def test_ids_of_four_bytes(spark):
+    """An id that two bytes don't hold."""
+    rows = [(1, "a b"), (2, "c " * 20)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, longest=8, end_id=1 << 17).collect()
+    for i, text in rows:
+        own = [*ids_of(text)[:-1], 1 << 17]
+        assert {r["start"]: r["ids_crc32"] for r in got if r["doc_id"] == i} == {s: zlib.crc32(np.array(own[s : s + 8], "<u4").tobytes()) for s in range(0, len(own), 8)}
