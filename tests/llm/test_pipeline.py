@@ -76,3 +76,25 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     kept = [(r["doc_id"], r["text"]) for r in got]
     last = [r for r in kept if r[0] is None and r[1] in (c, c + " end")]
     assert len(last) == 1 and sorted((r for r in kept if r not in last), key=str) == sorted([(1, a), (1, b), (3, None), (None, None), (4, c[:20])], key=str)
+
+
+def test_freed_memory_goes_back(spark):
+    """What the driver's JVM has freed outside its heap doesn't stay with it after a table is written."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def anonymous():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+    for _ in range(5):  # the heap grows at first
+        corpus_pipeline.materialize(spark.range(1), "before")
+    start, held = anonymous(), []
+    for _ in range(4000):
+        held.append(jvm.java.util.zip.Deflater())
+        held[-1].deflate(bytearray(16))
+    for one in held[:-1]:
+        one.end()
+    freed = anonymous()
+    corpus_pipeline.materialize(spark.range(1), "after")
+    assert freed > start + 150 and anonymous() < freed - 0.5 * (freed - start)
