@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import numbered
-from .common import chunks, key_filter, materialize, maybe_in, mix64, only_rows, ragged, range_split, release, row_key, shuffle_partitions, utf8
+from .common import chunks, key_filter, lighten, materialize, maybe_in, mix64, only_rows, ragged, range_split, release, row_key, shuffle_partitions, utf8
 from .components import Sets, bucket_components
 from .shingles import shingle_sets
 
@@ -117,6 +117,7 @@ def _sign(size: int):
     """doc_id, text -> doc_id, n_shingles, two hashes of the whole set, a hash for each band, a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for batch in batches:
             for part in chunks(batch, "text", 1_000_000):
                 sets, counts = shingle_sets(*utf8(part.column("text")), size)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_TYPE, chunks, held_out, materialize, row_key, utf8
+from .common import KEY_TYPE, chunks, held_out, lighten, materialize, row_key, utf8
 from .shingles import span_hashes, spans
 
 FEATURES = (
@@ -136,6 +136,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     keyed = [c for c in ("key",) if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for batch in batches:
             for part in chunks(batch, "text"):
                 x = document_statistics(*utf8(part.column("text")))

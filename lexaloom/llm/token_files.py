@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import chunks, materialize, ragged, range_split, shuffle_partitions
+from .common import chunks, kept_between_tasks, materialize, ragged, range_split, shuffle_partitions
 from .simple8b import read_file, write_file
 
 #: A file is closed when it has this many ids; a longer document has a file of its own.
@@ -113,6 +113,9 @@ def load(path: str) -> WordCache:
     return WordCache(path)
 
 
+kept_between_tasks(load.cache_clear)
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written files: part, file (number within the part), start (ids before
     it within the part), n_ids, unnamed (its documents have null ids), data. Parts, files and the documents inside

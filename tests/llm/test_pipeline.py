@@ -98,3 +98,18 @@ def test_freed_memory_goes_back(spark):
     freed = anonymous()
     corpus_pipeline.materialize(spark.range(1), "after")
     assert freed > start + 150 and anonymous() < freed - 0.5 * (freed - start)
+
+
+def test_workers_forget_words(spark):
+    """The words that packing has left in a worker process go when tasks start that don't use them."""
+    import pyarrow as pa
+
+    from lexaloom.llm import token_files
+
+    path = vocabulary("word_bpe_49k.json")
+    text = pa.record_batch([pa.array([1]), pa.array(["some words of a text"])], ["doc_id", "text"])
+    before = token_files.load(path).encode(text.column("text"))[0].tolist()
+    assert token_files.load(path).known
+    assert len(list(minhash._sign(5)(iter([text])))) == 1
+    assert not token_files.load(path).known
+    assert token_files.load(path).encode(text.column("text"))[0].tolist() == before
