@@ -52,15 +52,17 @@ def _cut(word: Column, endings: tuple[str, ...]) -> Column:
 def stems(words: Column) -> Column:
     """Stems of an array of lower-case tokens. Three cuts, each only if STEM_BYTES
     bytes remain: a reflexive ending, the longest ending that fits (no shorter one
-    instead), a sign. Tokens with a digit, without Cyrillic or of few bytes stay."""
+    instead), a sign. Tokens with a digit, without Cyrillic or of few bytes stay; an array of such tokens only is returned as it is."""
 
     def stays(w: Column) -> Column:
-        return (F.octet_length(w) < STEM_BYTES) | w.rlike("[0-9]") | ~w.rlike("[а-яё]")
+        ascii_only = F.octet_length(w) == F.char_length(w)
+        return (F.octet_length(w) < STEM_BYTES) | ascii_only | w.rlike("[0-9]") | ~w.rlike("[а-яё]")
 
     def without(endings: tuple[str, ...]):
         return lambda w: F.when(stays(w), w).otherwise(_cut(w, endings))
 
-    return F.transform(F.transform(F.transform(words, without(REFLEXIVE)), without(ENDINGS)), without(SIGNS))
+    cut = F.transform(F.transform(F.transform(words, without(REFLEXIVE)), without(ENDINGS)), without(SIGNS))
+    return F.when(F.exists(words, lambda w: ~stays(w)), cut).otherwise(words)
 
 
 def stem(word: Column) -> Column:

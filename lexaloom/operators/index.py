@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio, stems, tokens
-from .ranking import numbered, running_total
+from .ranking import running_total
 from .terms import term_frequency
 
 # Numbers of the known sources and the address of a page in each.
@@ -55,15 +56,27 @@ def combined(inputs: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:
 
 
 def global_ids(docs: DataFrame) -> DataFrame:
-    """Adds doc_id: 1, 2, ... over (source_ord, local_id)."""
+    """Adds doc_id: 1, 2, ... over (source_ord, local_id). Only these two are ordered, in
+    blocks; texts are moved by both, so that no task gets the texts of a whole block."""
+    key = ["source_ord", "local_id"]
     block = F.floor(F.col("local_id") / NUMBERS_AT_ONCE)
-    return numbered(docs, [F.col("source_ord"), block], [F.col("local_id")], "doc_id").withColumn("doc_id", F.col("doc_id").cast("int"))
+    slim = docs.groupBy(*key).agg(F.count("*").alias("__rows"))
+    before = running_total(slim, [F.col("source_ord"), block], [F.col("local_id")], F.col("__rows"), "__before").select(*key, "__before")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("local_id"))  # over 1 where a number is repeated
+    return docs.join(before, key).select(*docs.columns, (F.col("__before") + place).cast("int").alias("doc_id"))
+
+
+def _words(docs: DataFrame, stemmed: bool, *kept: str) -> DataFrame:
+    """The columns ``kept``, ``words`` and ``distinct``: each word or stem of the text once. Every step has a projection of its own, else texts are cut again for each use."""
+    cut = docs.select(*kept, tokens(F.col("text")).alias("words"))
+    once = cut.withColumn("distinct", F.array_distinct("words"))
+    return once.withColumn("distinct", F.array_distinct(stems(F.col("distinct")))) if stemmed else once
 
 
 def postings(docs: DataFrame, stemmed: bool = True) -> DataFrame:
     """(term, doc_id), each pair once: repeats go before the rows are multiplied, so there is no shuffle."""
-    words = F.array_distinct(tokens(F.col("text")))
-    return docs.select("doc_id", F.explode(F.array_distinct(stems(words)) if stemmed else words).alias("term")).select("term", "doc_id")
+    # explode() would add a filter on the size of the array, and with it cut every text a second time, ahead of the join
+    return _words(docs, stemmed, "doc_id").select(F.explode_outer("distinct").alias("term"), "doc_id").where("term is not null")
 
 
 def dictionary(pairs: DataFrame) -> DataFrame:
@@ -93,8 +106,15 @@ class Index:
     docs: DataFrame
 
     def save(self, path: str) -> None:
-        """Postings sorted by term, so that row groups of other terms are skipped. Texts are read once: the dictionary is made from the written postings."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings sorted by term, so that row groups of other terms are skipped. Texts are cut once: the ranges of the files are
+        drawn from rows that are kept on disk meanwhile, and the dictionary is made from the written postings."""
+        ours = self.postings.storageLevel == StorageLevel.NONE
+        pairs = self.postings.persist(StorageLevel.DISK_ONLY) if ours else self.postings
+        try:
+            pairs.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        finally:
+            if ours:
+                pairs.unpersist(blocking=True)
         written = self.postings.sparkSession.read.parquet(f"{path}/postings")
         dictionary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")

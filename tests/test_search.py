@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from lexaloom.operators import index as I
@@ -120,3 +121,41 @@ def test_numbering_crosses_groups(spark, monkeypatch):
     got = I.global_ids(spark.createDataFrame(rows, "source_ord int, local_id long")).collect()
     assert [(r["source_ord"], r["local_id"]) for r in sorted(got, key=lambda r: r["doc_id"])] == sorted(rows)
     assert sorted(r["doc_id"] for r in got) == list(range(1, 23))
+
+
+def test_texts_of_a_block_go_to_many_tasks(spark):
+    docs = spark.range(1, 401).select(F.lit(0).alias("source_ord"), F.col("id").alias("local_id"), F.lit("т").alias("text"))
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in I.global_ids(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 400 and max(sizes) < 200
+
+
+def test_saving_cuts_each_text_once(spark, tmp_path, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(text):
+        cut.add(1)
+        return text.split()
+
+    monkeypatch.setattr(I, "tokens", counted)
+    docs = spark.range(1, 101).select(F.col("id").alias("doc_id"), F.concat(F.lit("общее слово"), "id").alias("text"))
+    meta = docs.select("doc_id", F.col("doc_id").alias("page_id"), F.lit("t").alias("title"), F.lit("ruwiki").alias("source"))
+    built = I.build_index([(docs, meta)])
+    built.save(str(tmp_path / "index"))
+    assert cut.value == 100
+    assert built.postings.storageLevel == StorageLevel.NONE
+    assert I.load_index(spark, str(tmp_path / "index")).postings.count() == 200
+
+
+def test_repeated_numbers(spark):
+    rows = [(0, 5), (0, 2), (0, 5), (1, 2), (0, 5), (1, 1)]
+    got = I.global_ids(spark.createDataFrame(rows, "source_ord int, local_id long")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(*r, n) for n, r in enumerate(sorted(rows), 1)]
