@@ -9,9 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio, stems, tokens
+from ..functions.text import ratio, stem, stems, tokens
 from .ranking import running_total
-from .terms import term_frequency
 
 # Numbers of the known sources and the address of a page in each.
 SOURCE_IDS = {"ruwiki": 1, "ru_wikisource": 2}
@@ -130,15 +129,19 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "dictionary", "docs")))
 
 
-def index_statistics(docs: DataFrame, index: Index, stemmed: bool = True) -> DataFrame:
-    """One row: counts, average bytes of a token and of a term, bytes of the file's sections."""
-    counted = term_frequency(docs, stemmed)
-    token = counted.agg(F.sum("count").alias("tokens"), F.sum(F.octet_length("term") * F.col("count")).alias("token_bytes"))
-    term = index.dictionary.agg(F.count("*").alias("terms"), F.sum(F.octet_length("term")).alias("term_bytes"), F.sum("df").alias("df"))
-    record = index.docs.agg(F.count("*").alias("docs"), F.sum(F.octet_length("title")).alias("title_bytes"))
-    # three tables of one row each, beside one another
-    every = token.unionByName(term, True).unionByName(record, True)
-    known = every.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in every.columns])
+def index_statistics(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """One row of the index of ``combined`` documents: counts, average bytes of a token and of a term, bytes of the file's sections.
+
+    Nothing of it depends on the documents' numbers, so texts are read and cut once: a document's own figures go with its first token."""
+    words = _words(docs.withColumn("title_bytes", F.octet_length("title")), stemmed, "title_bytes").withColumn("df", F.size("distinct"))
+    each = words.select("title_bytes", "df", F.posexplode_outer("words").alias("pos", "term"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    own = {"docs": F.lit(1), "df": F.col("df"), "title_bytes": F.col("title_bytes")}
+    counted = each.groupBy("term").agg(F.count("term").alias("count"), *[F.sum(F.when(first, c)).alias(name) for name, c in own.items()])
+    if stemmed:
+        counted = counted.groupBy(stem(F.col("term")).alias("term")).agg(*[F.sum(c).alias(c) for c in ("count", *own)])
+    sums = {"tokens": F.sum("count"), "token_bytes": F.sum(F.octet_length("term") * F.col("count")), "terms": F.count("term"), "term_bytes": F.sum(F.octet_length("term"))} | {c: F.sum(c) for c in own}
+    known = counted.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in sums.items()])
     return known.select(
         F.col("docs").alias("docs_count"), F.col("terms").alias("terms_count"), F.col("tokens").alias("total_tokens"),
         ratio(F.col("token_bytes"), F.col("tokens")).alias("avg_token_bytes"), ratio(F.col("term_bytes"), F.col("terms")).alias("avg_term_bytes"),

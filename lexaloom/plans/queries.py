@@ -193,8 +193,7 @@ def doc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = index.global_ids(index.combined(_inputs(spark, sf_dir)))
-    stats = index.index_statistics(docs, _index(spark, sf_dir))
+    stats = index.index_statistics(index.combined(_inputs(spark, sf_dir)))
     return stats.withColumns({c: F.round(c, 6) for c in ("avg_token_bytes", "avg_term_bytes")})
 
 

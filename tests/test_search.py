@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.operators import index as I
 from lexaloom.plans import boolean as B
+from lexaloom.plans import queries
 from lexaloom.sources import files
 
 DOCS = ["фильм триллер 1999", "режиссёр снял фильм", "стихотворение осень", "Фильмы осени, режиссёры", "film noir 1999"]
@@ -123,6 +124,11 @@ def test_numbering_crosses_groups(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == list(range(1, 23))
 
 
+def cuts(df):
+    """How often a plan cuts texts into tokens."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
 def test_texts_of_a_block_go_to_many_tasks(spark):
     docs = spark.range(1, 401).select(F.lit(0).alias("source_ord"), F.col("id").alias("local_id"), F.lit("т").alias("text"))
     fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -159,3 +165,22 @@ def test_repeated_numbers(spark):
     rows = [(0, 5), (0, 2), (0, 5), (1, 2), (0, 5), (1, 1)]
     got = I.global_ids(spark.createDataFrame(rows, "source_ord int, local_id long")).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(*r, n) for n, r in enumerate(sorted(rows), 1)]
+
+
+def test_index_statistics(spark):
+    docs = spark.createDataFrame([(1, "Фильм фильмы, режиссёр"), (2, None), (3, "film, film 1999"), (4, "фильмами")], "doc_id long, text string")
+    meta = docs.select("doc_id", F.col("doc_id").alias("page_id"), F.concat(F.lit("т"), F.col("doc_id")).alias("title"), F.lit("ruwiki").alias("source"))
+    stats = I.index_statistics(I.combined([(docs, meta)]))
+    assert cuts(stats) == 1
+    # 3 x фильм, режиссёр, 2 x film, 1999: four terms in five pairs; titles of 3 bytes
+    terms = 10 + 16 + 4 + 4
+    assert stats.collect() == [(4, 4, 7, (3 * 10 + 16 + 2 * 4 + 4) / 7, terms / 4, 4 * 20 + terms, 4 * 5, 8 + 4 * (24 + 3))]
+    assert I.index_statistics(I.combined([(docs.limit(0), meta)])).collect() == [(0, 0, 0, 0.0, 0.0, 0, 0, 8)]
+    assert I.index_statistics(I.combined([(docs, meta)]), stemmed=False).first()["terms_count"] == 6
+
+
+def test_index_stats_reads_texts_once(spark, tmp_path):
+    spark.createDataFrame([(0, "a b", "src0"), (1, "b", "src9")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    stats = queries.index_stats(spark, str(tmp_path))
+    assert cuts(stats) == 1
+    assert stats.collect() == [(2, 2, 3, 1.0, 1.0, 42, 12, 8 + 2 * (24 + 5))]
